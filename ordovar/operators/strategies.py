@@ -104,22 +104,24 @@ def bitonic_rounds(n: int) -> list[tuple[int, int]]:
     return [(1 << (i - 1 - j), i) for i in range(1, ceil_log2(n) + 1) for j in range(i)]
 
 
-def bitonic_round(df: DataFrame, n: int, mask: int, bit: int) -> DataFrame:
-    """Partners part and part XOR mask keep the lower and the upper share of their rows; as many each as before."""
-    sizes = df.groupBy("part").agg(F.count("*").alias("c"))
-    size = {r["part"]: r["c"] for r in sizes.collect()}  # n rows
-    pair = F.col("part").bitwiseAND(F.lit(~mask))
+def largest_part(df: DataFrame) -> int:
+    return df.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+
+
+def bitonic_round(df: DataFrame, n: int, mask: int, bit: int, slots: int) -> DataFrame:
+    """Of partners part and part XOR mask, one keeps the lowest `slots` rows, the other what lies above. A part with fewer rows counts
+    as filled up with rows above all others, which need not exist; so parts may be uneven."""
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(*KEYS))
-    rows = df.withColumn("__p", pair).withColumn("__r", rank)
-    lows = F.element_at(F.array(*(F.lit(size.get(p if not p >> bit & 1 else p | mask, 0)).cast("long") for p in range(n))), F.col("__p") + 1)
-    low, high = (F.when(F.col("__p").bitwiseAND(F.lit(1 << bit)) == 0, a).otherwise(b) for a, b in ((F.col("__p"), F.col("__p") + mask), (F.col("__p") + mask, F.col("__p"))))
-    return rows.withColumn("part", F.when(F.col("__r") <= lows, low).otherwise(high).cast("int")).drop("__p", "__r")
+    rows = df.withColumn("__p", F.col("part").bitwiseAND(F.lit(~mask))).withColumn("__r", rank)
+    rising = F.col("__p").bitwiseAND(F.lit(1 << bit)) == 0
+    return rows.withColumn("part", (F.col("__p") + F.when((F.col("__r") <= slots) == rising, 0).otherwise(mask)).cast("int")).drop("__p", "__r")
 
 
 def bitonicsort(df: DataFrame, spec: SortSpec) -> DataFrame:
     n = 1 << ceil_log2(spec.n)
+    slots = largest_part(df)
     for mask, bit in bitonic_rounds(n):
-        df = bitonic_round(df, n, mask, bit)
+        df = bitonic_round(df, n, mask, bit, slots)
     return sorted_by_bucket(df, n, "part", KEYS).select("pos", "value")
 
 
