@@ -6,11 +6,11 @@ With 18 and 12, a pair at the threshold of 0.75 shares a table with probability
 
 Steps. (1) Equal shingle sets become one representative, the smallest id. (2) Half-keys that nobody shares cannot be part of a shared
 table key and go before the pairs are formed. (3) In each table bucket all members are compared with the member whose half-keys are
-the most shared and with the smallest one, not with each other. (4) Confirmed links give components. (5) What shares a bucket and is
+the most shared, not with each other. (4) Confirmed links give components. (5) What shares a bucket and is
 not connected yet gets an exact search of its own, by prefixes: with shingles ordered from rare to frequent, two sets that are similar
 enough share one of the first n - ceil(0.75 n) + 1. Pairs in different components that do are compared; so no pair of a bucket is
 lost, and members that share only a frequent passage make no pairs. (6) Components of all links. Buckets are never gathered: leaders
-come from pre-aggregated extremes, members join them and a hot bucket's join is split.
+come from pre-aggregated maxima, members join them and a hot bucket's join is split.
 
 Rows without words have no shingles, link with nothing and are kept. Rows with equal id are one document. Null ids link with nothing
 and are kept. Repeated rows are equal sets. Further columns are ignored.
@@ -175,11 +175,8 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     reps = own.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     keys = own.where("n > 0").join(reps.select(F.col("rep").alias("id"), "rep", "n").distinct(), ["id", "n"], "inner").select("rep", "n", "lefts", "rights").dropDuplicates(["rep", "n"])
     table = written(spark, buckets(keys), "buckets")
-    size_first = F.struct(F.col("n").alias("size"), F.col("rep").alias("lead"))
-    leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"), F.min(size_first).alias("low"), F.count("*").alias("c")).where("c > 1")
-    both = F.array_distinct(F.array(F.struct(F.col("top.n").alias("size"), (-F.col("top.back")).alias("lead")), F.col("low")))
-    star = table.join(leaders.select("key", both.alias("two")), "key").select("rep", "n", F.explode("two").alias("x")).select("rep", "n", "x.lead", F.col("x.size").alias("lead_n"))
-    star = star.where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
+    leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"), F.count("*").alias("c")).where("c > 1")
+    star = table.join(leaders.select("key", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "key").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
     pairs = star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct().checkpoint()
     members = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
     texts = written(spark, members.join(table.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
@@ -191,7 +188,9 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     rest = named.join(mixed, "key", "left_semi").select("rep", "n", "component").distinct().checkpoint()
     more = by_prefix(rest, texts, percent).join(pairs, ["a", "b"], "left_anti").checkpoint()
     if not more.isEmpty():
-        comp = components(links.union(confirmed(more, texts, percent)))
+        found = confirmed(more, texts, percent).checkpoint()
+        if not found.isEmpty():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     labels = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     named_rows = own.select("id", "n", "f1", "f2").join(labels, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
