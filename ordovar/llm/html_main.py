@@ -430,7 +430,18 @@ def trained(pages: int = 600, seed: int = 7) -> Trees:
 def kept(blocks: list[Block], logodds: np.ndarray) -> np.ndarray:
     """The set of blocks, closed under parents, with the largest sum of log-odds, weighed by own text; blocks without weigh little."""
     number = {id(b): i for i, b in enumerate(blocks)}
-    value = logodds * np.array([np.sqrt(b.own) if b.own else 1e-3 for b in blocks])
+    size = np.array([np.sqrt(b.own) if b.own else 1e-3 for b in blocks])
+    logodds = logodds.copy()
+    # plain siblings of one tag are alike: each takes half of its log-odds from all of them
+    for b in blocks:
+        alike: dict[str, list[int]] = {}
+        for c in b.children:
+            if not c.groups and c.own:
+                alike.setdefault(c.tag, []).append(number[id(c)])
+        for k in alike.values():
+            if len(k) > 1:
+                logodds[k] = 0.5 * logodds[k] + 0.5 * (logodds[k] * size[k]).sum() / size[k].sum()
+    value = logodds * size
     best = value.copy()
     for i in range(len(blocks) - 1, 0, -1):
         if best[i] > 0:
