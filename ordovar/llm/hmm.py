@@ -189,29 +189,46 @@ def forward(cls: np.ndarray, first: np.ndarray, model: Hmm) -> np.ndarray:
             total[:m] += np.log10(s)
             alpha[:m] = a / s[:, None]
         out[order] = total
-    for i in np.flatnonzero(size > SEGMENT):
-        begin = np.arange(first[i], first[i + 1], SEGMENT)
-        lens = np.minimum(SEGMENT, first[i + 1] - begin)
-        maps = np.broadcast_to(np.eye(k), (len(begin), k, k)).copy()  # what a segment makes of each state before it
-        total = np.zeros(len(begin))
-        for t in range(SEGMENT):
-            m = len(begin) if t < lens[-1] else len(begin) - 1
-            first_step = maps[:m] @ model.move
-            if t == 0:
-                first_step[0] = model.start  # the text's begin has no state before it
-            a = first_step * model.emit[cls[begin[:m] + t]][:, None, :]
-            s = a.max((1, 2), keepdims=True)
-            maps[:m] = a / s
-            total[:m] += np.log10(s[:, 0, 0])
-        v, logp = maps[0][0], total[0]
-        for j in range(1, len(begin)):
-            v = v @ maps[j]
-            s = v.sum()
-            v, logp = v / s, logp + np.log10(s) + total[j]
-        out[i] = logp + np.log10(v.sum())
+    long = np.flatnonzero(size > SEGMENT)
+    if len(long):
+        begin = np.concatenate([np.arange(first[i], first[i + 1], SEGMENT) for i in long])
+        owner = np.repeat(long, -(-size[long] // SEGMENT))
+        lens = np.minimum(SEGMENT, first[owner + 1] - begin)
+        maps, total = np.empty((len(begin), k, k)), np.empty(len(begin))
+        order = np.argsort(-lens, kind="stable")
+        for at in range(0, len(order), 1024):
+            part = order[at : at + 1024]
+            maps[part], total[part] = _transfers(cls, begin[part], lens[part], begin[part] == first[owner[part]], model)
+        at = 0
+        for i in long:
+            v, logp = model.start, 0.0
+            for j in range(at, at + -(-size[i] // SEGMENT)):
+                v = v @ maps[j] if j > at else maps[j][0]
+                s = v.sum()
+                v, logp = v / s, logp + np.log10(s) + total[j]
+            at += -(-size[i] // SEGMENT)
+            out[i] = logp
     return out
 
 
+def _transfers(cls: np.ndarray, begin: np.ndarray, lens: np.ndarray, opens: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """What each segment makes of each state before it, and the log10 of the scale taken out; in the rows of segments that open a text
+    nothing is before. Segments come with falling lengths."""
+    k = len(model.start)
+    maps, total = np.broadcast_to(np.eye(k), (len(begin), k, k)).copy(), np.zeros(len(begin))
+    for t, m in enumerate(np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")):
+        a = (maps[:m].reshape(-1, k) @ model.move).reshape(m, k, k)
+        if t == 0:
+            a[opens[:m]] = model.start
+        a *= model.emit[cls[begin[:m] + t]][:, None, :]
+        if t % 8 == 7 or t == lens[0] - 1 or m < len(begin):
+            s = a.max((1, 2))
+            a /= s[:, None, None]
+            total[:m] += np.log10(s)
+        maps[:m] = a
+    return maps, total
+
+
 def encoded(df: DataFrame, is_training: Column, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, train, classes): every row's class sequence, as 16-bit numbers; h: the text's hash."""
 
