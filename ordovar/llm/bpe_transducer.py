@@ -3,7 +3,7 @@
 State of the machine: what later bytes of a pre-token can still depend on, namely the longest suffix that starts some token, and
 for each place in it the last token of the encoding up to that place and its token count. A transition reads one byte and is
 annotated with the change of the token count. The states are finite in number; they and their transitions are made the first time
-that a text needs them and kept in one dense table, which is emptied when it reaches `max_states`.
+that a text needs them and kept in one dense table, which is emptied before the next texts when it has passed `max_states`.
 
 Texts run in chunks, side by side, one numpy step a byte. A chunk begins at the start of a pre-token, where every state has the
 same successor; its state map is therefore constant, and the composition of the maps in a text is the prefix sum of their counts.
@@ -12,6 +12,7 @@ same successor; its state map is therefore constant, and the composition of the
 from __future__ import annotations
 
 import json
+import marshal
 
 import numpy as np
 import regex
@@ -56,7 +57,7 @@ class Transducer:
     #: The suffixes that the file's pre-tokenizer splits off after an apostrophe.
     CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-    def __init__(self, path: str, max_states: int = 200_000):
+    def __init__(self, path: str, max_states: int = 240_000):
         model = json.load(open(path, encoding="utf-8"))
         stand_in = byte_alphabet()
         as_bytes = lambda s: bytes(stand_in[c] for c in s)
@@ -80,28 +81,34 @@ class Transducer:
         self.classes = char_classes()
         self.max_states = max_states
         self._sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self.lefts = {a for a, _ in self.rank}
+        self._edges: dict[int, int] = {}
+        self._signs: dict[tuple, int] = {}
         self._clear()
 
     # -- the machine
 
     def _clear(self) -> None:
-        self.keys: list[tuple] = []
-        self.number: dict[tuple, int] = {}
+        self.keys: list[bytes] = []  # marshalled, which takes a fifth of the room
+        self.number: dict[bytes, int] = {}
+        self._fits.clear()
         self.column = np.zeros(256, np.int16)
         self.columns = 1  # column 0: bytes that were not seen yet, never filled
-        self.next = np.full((1024, 128), -1, np.int32)
+        self.next = np.full((1024, 96), -1, np.int32)
         self.last = np.zeros(1024, np.int32)
         self._intern((b"", (-1,), (0,)))
 
     def _intern(self, key: tuple) -> int:
-        k = self.number.get(key)
+        short = marshal.dumps(key, 0)
+        k = self.number.get(short)
         if k is None:
-            k = self.number[key] = len(self.keys)
-            self.keys.append(key)
+            k = self.number[short] = len(self.keys)
+            self.keys.append(short)
             if k == len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+                more = max(1024, k // 8)
+                self.next = np.concatenate([self.next, np.full((more, self.next.shape[1]), -1, np.int32)])
+                self.last = np.concatenate([self.last, np.zeros(more, np.int32)])
             self.last[k] = key[1][-1]
         return k
 
@@ -120,12 +127,20 @@ class Transducer:
             self._sides[key] = found
         return found
 
+    def _edge(self, token: int) -> int:
+        """One token of those whose right edges can take part in the same merges; what follows cannot tell them apart."""
+        found = self._edges.get(token)
+        if found is None:
+            sign = tuple((x, self._made(x), until) for x, until in self._side(token, 1) if x in self.lefts)
+            found = self._edges[token] = self._signs.setdefault(sign, token)
+        return found
+
     def _made(self, token: int) -> int:
         return self.parts[token][2] if token in self.parts else -1
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens: no merge spans the seam while both its sides exist."""
-        found = self._fits.get((a, b))
+        found = self._fits.get(a << 32 | b)
         if found is None:
             found = True
             for x, x_ends in self._side(a, 1):
@@ -139,7 +154,7 @@ class Transducer:
                         break
                 if not found:
                     break
-            self._fits[a, b] = found
+            self._fits[a << 32 | b] = found
         return found
 
     def step(self, key: tuple, byte: int) -> tuple[tuple, int]:
@@ -159,7 +174,7 @@ class Transducer:
         open_at = [tail[k:] in self.prefixes for k in range(len(tail))]
         cut = open_at.index(True) if True in open_at else len(tail)
         # of places where no token can begin any more, nothing is kept
-        lasts = (*(x if o else -2 for x, o in zip(lasts[cut:-1], open_at[cut:], strict=True)), t)
+        lasts = (*((x if x < 0 else self._edge(x)) if o else -2 for x, o in zip(lasts[cut:-1], open_at[cut:], strict=True)), t)
         counts = (*(c - count if o else 0 for c, o in zip(counts[cut:-1], open_at[cut:], strict=True)), 0)
         return (tail[cut:], lasts, counts), change
 
@@ -168,23 +183,17 @@ class Transducer:
             self.column[byte] = self.columns
             self.columns += 1
             if self.columns > self.next.shape[1]:
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)], axis=1)
+                self.next = np.concatenate([self.next, np.full((len(self.next), 16), -1, np.int32)], axis=1)
         return self.column[byte]
 
-    def _fill(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """Compiles the transitions that a step lacks; returns the states, numbered anew if the table was emptied."""
-        if len(self.keys) + len(state) > self.max_states:
-            had, back = np.unique(state, return_inverse=True)
-            kept = [self.keys[s] for s in had]
-            self._clear()
-            state = np.array([self._intern(k) for k in kept], np.int32)[back]
+    def _fill(self, state: np.ndarray, byte: np.ndarray) -> None:
+        """Compiles the transitions that a step lacks."""
         for pair in np.unique(state.astype(np.int64) << 8 | byte):
             s, b = int(pair >> 8), int(pair & 255)
             c = self._column(b)
             if self.next[s, c] < 0:
-                key, change = self.step(self.keys[s], b)
+                key, change = self.step(marshal.loads(self.keys[s]), b)
                 self.next[s, c] = self._intern(key) << 8 | (change + 128)
-        return state
 
     # -- texts
 
@@ -249,9 +258,11 @@ class Transducer:
     def run(self, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The last token after each byte and the change of the token count at it."""
         n = len(buf)
-        tokens, changes = np.zeros(n, np.int32), np.zeros(n, np.int8)
+        changes = np.zeros(n, np.int8)
         if not n:
-            return tokens, changes
+            return np.zeros(0, np.int32), changes
+        if len(self.keys) > self.max_states:
+            self._clear()
         places = np.flatnonzero(start)
         cuts = places[np.unique(np.searchsorted(places, np.arange(0, n, CHUNK_BYTES)).clip(max=len(places) - 1))]
         cuts = np.unique(np.concatenate([[0], cuts]))
@@ -260,27 +271,26 @@ class Transducer:
         cuts, size = cuts[order], size[order]
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
         state = np.zeros(len(cuts), np.int32)
+        got_at = np.empty(n, np.int32)
+        column = self.column[buf]
+        width, flat = self.next.shape[1], self.next.ravel()
         for k, m in enumerate(live):
             at = cuts[:m] + k
-            byte = buf[at]
             now = state[:m]
             now[start[at]] = 0
-            got = self.next[now, self.column[byte]]
-            lacking = got < 0
-            if lacking.any():
-                now = self._fill_lanes(now, byte, lacking)
-                got = self.next[now, self.column[byte]]
-            to = got >> 8
-            state[:m] = to
-            tokens[at] = self.last[to]
-            changes[at] = (got & 255) - 128
-        return tokens, changes
-
-    def _fill_lanes(self, now: np.ndarray, byte: np.ndarray, lacking: np.ndarray) -> np.ndarray:
-        if len(self.keys) + int(lacking.sum()) > self.max_states:
-            return self._fill(now, byte)  # all lanes are numbered anew
-        self._fill(now[lacking], byte[lacking])
-        return now
+            got = flat.take(now * width + column[at])
+            if got.min() < 0:
+                byte = buf[at]
+                lacking, seen = got < 0, self.columns
+                self._fill(now[lacking], byte[lacking])
+                if self.columns != seen:
+                    column = self.column[buf]
+                width, flat = self.next.shape[1], self.next.ravel()
+                got = flat.take(now * width + column[at])
+            state[:m] = got >> 8
+            got_at[at] = got
+        np.subtract(got_at & 255, 128, out=changes, casting="unsafe")
+        return self.last[got_at >> 8], changes
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""

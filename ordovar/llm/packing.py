@@ -144,9 +144,9 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     if left[capacity]:
         commit([capacity], int(left[capacity]))
     groups = patterns(left, capacity)
-    fitted = [(float(v), p) for g, x in zip(groups, nnls(groups, left[: capacity + 1].astype(float)), strict=True) for v, p in zip(x, g.tolist(), strict=True) if v >= 1] if groups else []
+    fitted = [(float(v), p) for g, x in zip(groups, nnls(groups, left[: capacity + 1].astype(float)), strict=True) for v, p in zip(x, g.tolist(), strict=True) if v >= 0.5] if groups else []
     for v, p in sorted(fitted, key=lambda f: (-f[0], f[1])):
-        repeat = min(int(v), *(int(left[n]) // p.count(n) for n in p))
+        repeat = min(int(v + 0.5), *(int(left[n]) // p.count(n) for n in p))
         if repeat > 0:
             commit(p, repeat)
     while True:
