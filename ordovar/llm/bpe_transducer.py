@@ -17,6 +17,8 @@ import marshal
 import numpy as np
 import regex
 
+from ordovar.llm.common import held
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 CHUNK_BYTES = 192
 
@@ -325,11 +327,6 @@ class Transducer:
         return out[:n][have], total[offsets]
 
 
-_MADE: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    """One per worker process and file."""
-    if path not in _MADE:
-        _MADE[path] = Transducer(path)
-    return _MADE[path]
+    """One per worker process, kept while tasks use the same file."""
+    return held(("transducer", path), lambda: Transducer(path))

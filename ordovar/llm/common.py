@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+T = TypeVar("T")
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """make()'s result, kept in this worker process for its later tasks. A worker holds one such object: what one operator compiled
+    does not take room while another runs."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,11 +69,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of pieces of a text column; null texts are empty."""
-    col = pc.fill_null(batch.column(column), "")
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
+    col = batch.column(column)
     if not pa.types.is_large_string(col.type):
         col = col.cast(pa.large_string())
+    col = pc.fill_null(col, "")
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
     n = len(col)
     offs = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + n + 1] if n else np.zeros(1, np.int64)
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if n and col.buffers()[2] is not None else np.zeros(0, np.uint8)

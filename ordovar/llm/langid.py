@@ -10,7 +10,7 @@ to the smaller code. Rows with a null language do not train. Further columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +18,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordovar.llm.bpe_transducer import LETTER, char_classes, code_points
-from ordovar.llm.common import text_slices
+from ordovar.llm.common import held, text_slices
 
 PROFILE_SIZE = 400
 TEXT_SIZE = 300
 UNDETERMINED = "und"
 
-_TABLE: list[np.ndarray] = []
+#: Bytes of text that are counted at once; a longer text is counted by itself.
+SLICE = 1 << 18
 
 
-def letter_codes() -> np.ndarray:
+def _letter_codes() -> np.ndarray:
     """Code point -> lower-case code point + 1 of letters, else 0."""
-    if not _TABLE:
-        codes = np.arange(0x110000, dtype=np.int32)
-        kinds = char_classes()
-        lower = codes.copy()
-        for i in np.flatnonzero(kinds == LETTER):
-            c = chr(i).lower()
-            if len(c) == 1:
-                lower[i] = ord(c)
-        _TABLE.append(np.where(kinds == LETTER, lower + 1, 0).astype(np.int32))
-    return _TABLE[0]
+    kinds = char_classes()
+    lower = np.arange(0x110000, dtype=np.int32)
+    for i in np.flatnonzero(kinds == LETTER):
+        c = chr(i).lower()
+        if len(c) == 1:
+            lower[i] = ord(c)
+    return np.where(kinds == LETTER, lower + 1, 0).astype(np.int32)
+
+
+def letter_codes() -> np.ndarray:
+    return held("letter codes", _letter_codes)
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def train(df: DataFrame, is_training: Column, size: int = PROFILE_SIZE, text_col
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for row, end, buf, offsets in text_slices(batch, "text"):
+            for row, end, buf, offsets in text_slices(batch, "text", SLICE):
                 ids, of, full = grams(buf, offsets)
                 own = langs[row:end]
                 for lang in sorted(set(own)):
@@ -117,8 +119,8 @@ def train(df: DataFrame, is_training: Column, size: int = PROFILE_SIZE, text_col
     return [(lang, [g for _, g in sorted(top[lang])]) for lang in sorted(top)]
 
 
-def predict(df: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE_SIZE, text_size: int = TEXT_SIZE, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score. The profiles (languages x size numbers) travel with the tasks."""
+def predict(df: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE_SIZE, text_size: int = TEXT_SIZE, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """df's columns (or those of `keep`) with lang_pred and score. The profiles (languages x size numbers) travel with the tasks."""
     langs = [lang for lang, _ in profiles]
     known = np.unique(np.array([g for _, p in profiles for g in p], dtype=np.int64))
     ranks = np.full((len(langs), len(known) + 1), -1, np.int64)
@@ -148,16 +150,16 @@ def predict(df: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PR
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said, score = [], []
-            for row, end, buf, offsets in text_slices(batch, "__text"):
+            for row, end, buf, offsets in text_slices(batch, text_col, SLICE):
                 ids, of, full = grams(buf, offsets)
                 cut = np.searchsorted(of, np.arange(end - row + 1))
                 for k in range(end - row):
                     a, b = one(ids[cut[k] : cut[k + 1]], full)
                     said.append(a)
                     score.append(b)
-            names = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(said, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = df.drop("lang_pred", "score").withColumn("__text", F.col(text_col).cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    rows = df.drop("lang_pred", "score")
+    names = [f.name for f in rows.schema if keep is None or f.name in keep]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(kernel, f"{kinds}, lang_pred string, score double")

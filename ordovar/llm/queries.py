@@ -25,7 +25,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.train(docs, crc_mod("doc_id", 3) != 1)
     rows = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text")
-    return langid.predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(rows, profiles, keep=("doc_id", "held_out"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs.where(crc_mod("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text"), model)
+    scored = toxicity.score(docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, marked = Counter(), Counter()
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                own = set(terms(text))
+            for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
+                own = set(terms(text.as_py()))
                 seen.update(own)
                 if label:
                     marked.update(own)
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [Counter(t for t in terms(text) if t in number) for text in b.column("text").to_pylist()]
+            own = [Counter(t for t in terms(text) if t in number) for text in (t.as_py() for t in b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))], ["id", "label", "term", "tf"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -196,19 +196,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     return model
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with score and evidence. The model is broadcast; `examples` and `vocabulary` bound its size."""
+def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """df's columns (or those of `keep`) with score and evidence. The model is broadcast; `examples` and `vocabulary` bound its size."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     evidence = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            out = [m.score(t) for t in b.column("__text").to_pylist()]
-            names = [c for c in b.schema.names if c != "__text"]
+            out = [m.score(t.as_py()) for t in b.column(text_col)]
             said = [[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([s for s, _ in out], pa.float64()), pa.array(said, evidence)], [*names, "score", "evidence"])
 
-    rows = df.drop("score", "evidence").withColumn("__text", F.col(text_col).cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    rows = df.drop("score", "evidence")
+    names = [f.name for f in rows.schema if keep is None or f.name in keep]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(kernel, f"{kinds}, score double, evidence array<struct<id: long, cosine: double, label: int>>")
