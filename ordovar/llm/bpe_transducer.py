@@ -97,8 +97,10 @@ class Transducer:
         self._fits.clear()
         self.column = np.zeros(256, np.int16)
         self.columns = 1  # column 0: bytes that were not seen yet, never filled
-        self.next = np.full((1024, 96), -1, np.int32)
-        self.last = np.zeros(1024, np.int32)
+        # 0: not compiled yet. The system gives pages of zeros when they are first written to, so the whole table can be asked for at once
+        self.next = self.last = None
+        self.next = np.zeros((self.max_states * 9 // 8, 96), np.int32)
+        self.last = np.zeros(self.max_states * 9 // 8, np.int32)
         self._intern((b"", (-1,), (0,)))
 
     def _intern(self, key: tuple) -> int:
@@ -109,7 +111,7 @@ class Transducer:
             self.keys.append(short)
             if k == len(self.next):
                 more = max(1024, k // 8)
-                self.next = np.concatenate([self.next, np.full((more, self.next.shape[1]), -1, np.int32)])
+                self.next = np.concatenate([self.next, np.zeros((more, self.next.shape[1]), np.int32)])
                 self.last = np.concatenate([self.last, np.zeros(more, np.int32)])
             self.last[k] = key[1][-1]
         return k
@@ -185,7 +187,9 @@ class Transducer:
             self.column[byte] = self.columns
             self.columns += 1
             if self.columns > self.next.shape[1]:
-                self.next = np.concatenate([self.next, np.full((len(self.next), 16), -1, np.int32)], axis=1)
+                wider = np.zeros((len(self.next), self.next.shape[1] + 16), np.int32)
+                wider[: len(self.keys), : self.next.shape[1]] = self.next[: len(self.keys)]
+                self.next = wider
         return self.column[byte]
 
     def _fill(self, state: np.ndarray, byte: np.ndarray) -> None:
@@ -193,7 +197,7 @@ class Transducer:
         for pair in np.unique(state.astype(np.int64) << 8 | byte):
             s, b = int(pair >> 8), int(pair & 255)
             c = self._column(b)
-            if self.next[s, c] < 0:
+            if not self.next[s, c]:
                 key, change = self.step(marshal.loads(self.keys[s]), b)
                 self.next[s, c] = self._intern(key) << 8 | (change + 128)
 
@@ -281,9 +285,10 @@ class Transducer:
             now = state[:m]
             now[start[at]] = 0
             got = flat.take(now * width + column[at])
-            if got.min() < 0:
+            if not got.all():
                 byte = buf[at]
-                lacking, seen = got < 0, self.columns
+                lacking, seen = got == 0, self.columns
+                flat = None  # else it would hold a table that is replaced
                 self._fill(now[lacking], byte[lacking])
                 if self.columns != seen:
                     column = self.column[buf]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordovar.llm.bpe_transducer import LETTER, char_classes, code_points
-from ordovar.llm.common import held, text_slices
+from ordovar.llm.common import held, lean, text_slices
 
 PROFILE_SIZE = 400
 TEXT_SIZE = 300
@@ -111,7 +111,7 @@ def train(df: DataFrame, is_training: Column, size: int = PROFILE_SIZE, text_col
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     rows = df.where(is_training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(kernel, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(kernel), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top: dict[str, list[tuple[int, int]]] = {}
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", "rank").collect():
@@ -162,4 +162,4 @@ def predict(df: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PR
     rows = df.drop("lang_pred", "score")
     names = [f.name for f in rows.schema if keep is None or f.name in keep]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(kernel, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(lean(kernel), f"{kinds}, lang_pred string, score double")

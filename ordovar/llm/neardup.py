@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import LOWER, mix64, text_slices, word_hashes, word_spans, written
+from ordovar.llm.common import LOWER, lean, mix64, text_slices, word_hashes, word_spans, written
 from ordovar.llm.components import components
 
 WORDS = 5
@@ -103,7 +103,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "f1", "f2", "lefts", "rights"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(kernel, "id long, n long, f1 long, f2 long, lefts array<long>, rights array<long>")
+    return rows.mapInArrow(lean(kernel), "id long, n long, f1 long, f2 long, lefts array<long>, rights array<long>")
 
 
 def _shared(reps: DataFrame, col: str) -> DataFrame:
@@ -140,7 +140,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return wide.select("a", "b", "ta", "tb").mapInArrow(kernel, "a long, b long").distinct()
+    return wide.select("a", "b", "ta", "tb").mapInArrow(lean(kernel), "a long, b long").distinct()
 
 
 def by_prefix(rest: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -152,7 +152,7 @@ def by_prefix(rest: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 sets, at = shingle_sets(buf, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(row, end - row).take(pa.array(np.repeat(np.arange(end - row), np.diff(at)))), pa.array(sets.view(np.int64))], ["rep", "shingle"])
 
-    rows = texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "t").mapInArrow(kernel, "rep long, shingle long")
+    rows = texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "t").mapInArrow(lean(kernel), "rep long, shingle long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "shingle")
     # shingles of no other set come first and match nothing; what is left of the prefix is taken from the shared ones

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordovar.llm.bpe_transducer import transducer
-from ordovar.llm.common import text_slices, written
+from ordovar.llm.common import lean, text_slices, written
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -63,7 +63,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(kernel, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(kernel), f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long").withColumnRenamed("id", id_col)
 
 
 def patterns(hist: np.ndarray, capacity: int, limit: int = MAX_PATTERNS) -> list[np.ndarray]:
@@ -194,4 +194,4 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str =
 
     placed = own.join(bases, ["part", "length"]).select(F.col(id_col).alias("id"), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
     kind = placed.schema["id"].dataType.simpleString()
-    return placed.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(lean(place), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -25,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordovar.llm.common import lean
+
 EXAMPLES = 10_000
 VOCABULARY = 500
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
+#: Results that a task keeps for texts with the same vector.
+REMEMBERED = 4096
 #: Terms that may be expected to pass by chance.
 BY_CHANCE = 0.5
 
@@ -67,18 +71,21 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(documents, cosines) of the k nearest with a cosine over 0, ties to the smaller place; leave: a document that is not one."""
         blocks = self.block_max.shape[1]
-        bound = weight @ self.block_max[term]
+        bound = np.round(weight @ self.block_max[term], 12)  # like the cosines, so that what is equal ties
         best_doc, best = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
+            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1]):
                 break
+            if len(best) == k and bound[b] == best[-1] and b * BLOCK > best_doc[-1]:
+                continue  # at best ties, which go to the smaller place
             score = np.zeros(BLOCK)
             for t, w in zip(term, weight, strict=True):
                 lo, hi = self.block_at[t * blocks + b], self.block_at[t * blocks + b + 1]
                 score[self.doc[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
             if leave // BLOCK == b:
                 score[leave % BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
+            score = np.round(score, 12)
+            hit = np.flatnonzero(score >= best[-1] if len(best) == k else score > 0)
             docs, scores = np.concatenate([best_doc, hit + b * BLOCK]), np.concatenate([best, score[hit]])
             order = np.lexsort((docs, -scores))[:k]
             best_doc, best = docs[order], scores[order]
@@ -109,13 +116,21 @@ class Model:
         v = min(max(vote, 1e-3), 1 - 1e-3)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
 
+    def judge(self, text: str | None, known: dict[bytes, tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The calibrated score, and the neighbours' places and cosines. known: results by vector, for texts that share one."""
+        term, w = self.vector(Counter(t for t in terms(text) if t in self.number))
+        key = term.tobytes() + w.tobytes()
+        if key not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            docs, cosine = self.index.nearest(term, w, self.k)
+            known[key] = self.curve(self.vote(docs, cosine)) if len(docs) else self.base, docs, cosine
+        return known[key]
+
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score and the neighbours as (id, cosine, label)."""
-        term, w = self.vector(Counter(t for t in terms(text) if t in self.number))
-        docs, cosine = self.index.nearest(term, w, self.k) if len(term) else ((), ())
-        if not len(docs):
-            return self.base, []
-        return self.curve(self.vote(docs, cosine)), [(int(self.index.ids[d]), float(c), int(self.index.labels[d])) for d, c in zip(docs, cosine, strict=True)]
+        value, docs, cosine = self.judge(text, {})
+        return value, [(int(self.index.ids[d]), float(c), int(self.index.labels[d])) for d, c in zip(docs, cosine, strict=True)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -153,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     size = chosen.join(texts.select("id"), "id").agg(F.count("*"), F.sum("label")).first()
     n, n1 = size[0], size[1] or 0
     n0 = n - n1
-    counts = rows.select("text", "label").mapInArrow(presence, "term string, df long, df1 long").groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("df1").cast("double").alias("df1"))
+    counts = rows.select("text", "label").mapInArrow(lean(presence), "term string, df long, df1 long").groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("df1").cast("double").alias("df1"))
     a, c = F.col("df1"), F.col("df") - F.col("df1")
 
     def part(cell: Column, of: Column, total: float) -> Column:
@@ -174,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))], ["id", "label", "term", "tf"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(vectors, f"id {kind}, label int, term array<string>, tf array<int>").collect(), key=lambda r: r["id"])
+    got = sorted(rows.mapInArrow(lean(vectors), f"id {kind}, label int, term array<string>, tf array<int>").collect(), key=lambda r: r["id"])
     model = Model(number, idf, Index.build(np.zeros(0, np.int64), np.zeros(0), [], len(number)), 0.0, 1.0, 0.0, k)
     if not got:
         return model
@@ -199,16 +214,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """df's columns (or those of `keep`) with score and evidence. The model is broadcast; `examples` and `vocabulary` bound its size."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    evidence = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, known = shared.value, {}
         for b in batches:
-            out = [m.score(t.as_py()) for t in b.column(text_col)]
-            said = [[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in out]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([s for s, _ in out], pa.float64()), pa.array(said, evidence)], [*names, "score", "evidence"])
+            out = [m.judge(t.as_py(), known) for t in b.column(text_col)]
+            near = np.concatenate([np.zeros(0, np.int64), *(docs for _, docs, _ in out)]).astype(np.int64)
+            cosine = np.concatenate([np.zeros(0), *(c for _, _, c in out)])
+            ends = np.cumsum([0, *(len(docs) for _, docs, _ in out)]).astype(np.int32)
+            found = [pa.array(m.index.ids[near], pa.int64()), pa.array(cosine), pa.array(m.index.labels[near].astype(np.int32))]
+            said = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(found, ["id", "cosine", "label"]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([s for s, _, _ in out], pa.float64()), said], [*names, "score", "evidence"])
 
     rows = df.drop("score", "evidence")
     names = [f.name for f in rows.schema if keep is None or f.name in keep]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(kernel, f"{kinds}, score double, evidence array<struct<id: long, cosine: double, label: int>>")
+    return rows.mapInArrow(lean(kernel), f"{kinds}, score double, evidence array<struct<id: long, cosine: double, label: int>>")
