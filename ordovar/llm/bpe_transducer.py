@@ -21,6 +21,8 @@ from ordovar.llm.common import held
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 CHUNK_BYTES = 192
+#: Pairs of tokens of which it is kept whether they can be neighbours.
+KNOWN_SEAMS = 1 << 18
 
 
 def char_classes() -> np.ndarray:
@@ -158,6 +160,8 @@ class Transducer:
                         break
                 if not found:
                     break
+            if len(self._fits) >= KNOWN_SEAMS:
+                self._fits.clear()
             self._fits[a << 32 | b] = found
         return found
 

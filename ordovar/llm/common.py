@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on; bounds the kernels' temporary arrays. A longer text is one call.
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2000
 
 
 T = TypeVar("T")
@@ -53,6 +54,12 @@ def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to the kernels in batches of BATCH_ROWS rows, unless the session sets fewer: a batch lies in memory several times."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

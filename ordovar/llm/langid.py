@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordovar.llm.bpe_transducer import LETTER, char_classes, code_points
-from ordovar.llm.common import held, lean, text_slices
+from ordovar.llm.common import held, lean, small_batches, text_slices
 
 PROFILE_SIZE = 400
 TEXT_SIZE = 300
@@ -110,6 +110,7 @@ def train(df: DataFrame, is_training: Column, size: int = PROFILE_SIZE, text_col
         for lang, (codes, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
+    small_batches(df.sparkSession)
     rows = df.where(is_training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(lean(kernel), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -121,6 +122,7 @@ def train(df: DataFrame, is_training: Column, size: int = PROFILE_SIZE, text_col
 
 def predict(df: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE_SIZE, text_size: int = TEXT_SIZE, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """df's columns (or those of `keep`) with lang_pred and score. The profiles (languages x size numbers) travel with the tasks."""
+    small_batches(df.sparkSession)
     langs = [lang for lang, _ in profiles]
     known = np.unique(np.array([g for _, p in profiles for g in p], dtype=np.int64))
     ranks = np.full((len(langs), len(known) + 1), -1, np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordovar.llm.bpe_transducer import transducer
-from ordovar.llm.common import lean, text_slices, written
+from ordovar.llm.common import lean, small_batches, text_slices, written
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -61,6 +61,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
                     ["id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lean(kernel), f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long").withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordovar.llm.bpe_transducer import transducer
-from ordovar.llm.common import lean, text_slices
+from ordovar.llm.common import lean, small_batches, text_slices
 
 TOKEN_LIMIT = 512
 
@@ -31,6 +31,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 counts.append(machine.counts(buf, offsets))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(counts))], ["id", "n_bytes", "n_tokens"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lean(kernel), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
