@@ -18,6 +18,7 @@ and are kept. Repeated rows are equal sets. Further columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import LOWER, lean, mix64, text_slices, word_hashes, word_spans, written
+from ordovar.llm.common import LOWER, drop_path, lean, mix64, text_slices, word_hashes, word_spans, written
 from ordovar.llm.components import components
 
 WORDS = 5
@@ -191,6 +192,9 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         found = confirmed(more, texts, percent).checkpoint()
         if not found.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    for done in (table, texts):  # what follows needs only the sketches and the checkpoints
+        for path in {os.path.dirname(f) for f in done.inputFiles()}:
+            drop_path(spark, path)
     labels = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     named_rows = own.select("id", "n", "f1", "f2").join(labels, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
