@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes at most `examples` labelled rows, those with the smallest hash of their id (all, if there are fewer): the one bounded
-sample. The vocabulary are the sample's terms that mark label 1 (log-likelihood ratio of presence against label, so high that half a term is expected by chance; at
-most `vocabulary` terms).
+sample. The vocabulary are all of the sample's terms that mark label 1 (log-likelihood ratio of presence against label, so high that half
+a term is expected by chance). Near-equal texts of one label say nothing anew: each such group counts once, in the ratio, the document
+frequencies and the rate of label 1, so that many copies of a text do not make terms of its words.
 The sample's TF-IDF vectors form an inverted index in blocks of documents, with the largest weight of each term in each block. A
 query visits blocks in falling order of the bound that these give and stops where no block can reach its k nearest any more, so the
 k nearest are exact. Their labels, weighted by closeness, give a vote; a logistic curve fitted to the leave-one-out votes of the
 sample turns it into a probability. The neighbours are the evidence.
 
-Texts without a vocabulary term, null and empty ones included, score the rate of label 1 among such examples. Rows with a null label
+Texts without a vocabulary term, null and empty ones included, score the rate of label 1 among such examples, groups counting once. Rows with a null label
 or text do not train; an id with several labels counts as 1 if any is 1. Ties among neighbours go to the smaller id. Without any
 labelled row every score is 0. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import lean, small_batches
+from ordovar.llm import neardup
+from ordovar.llm.common import drop_path, lean, small_batches, written
 
 EXAMPLES = 10_000
-VOCABULARY = 500
 NEIGHBOURS = 15
 BLOCK = 256
 #: Results that a task keeps for texts with the same vector.
@@ -145,7 +147,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.05)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def _files(df: DataFrame) -> set[str]:
+    return {os.path.dirname(f) for f in df.inputFiles()}
+
+
+def _groups(rows: DataFrame) -> tuple[dict[int, int], np.ndarray, set[str]]:
+    """(group of each id in rows, label of each group, folders to drop): rows of one label whose texts are near-equal are a group."""
+    near = neardup.near_duplicates(rows.select("id", "text"), id_col="id")
+    component: dict[int, int] = {}
+    for r in near.select("id", "component_id").collect():  # at most `examples` ids
+        component[r["id"]] = min(r["component_id"], component.get(r["id"], r["component_id"]))
+    number: dict[tuple[int, int], int] = {}
+    group = {r["id"]: number.setdefault((component[r["id"]], r["label"]), len(number)) for r in rows.select("id", "label").distinct().collect()}
+    return group, np.array([label for _, label in number], dtype=np.int64), _files(near)
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """docs: the rows that may train; labels: (id, label)."""
     small_batches(docs.sparkSession)
     told = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -153,23 +170,33 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     pool = told.select(F.col(id_col).alias("id"), "label")
     sample = pool.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(examples)
     chosen = sample.sparkSession.createDataFrame(sample.collect(), sample.schema)  # at most `examples` pairs of numbers
-    rows = texts.join(F.broadcast(chosen), "id")
+    rows = written(docs.sparkSession, texts.join(F.broadcast(chosen), "id"), "examples")
+    group, group_label, spent = _groups(rows)
+    times = Counter(group.values())
+    several = {i: g for i, g in group.items() if times[g] > 1}
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, marked = Counter(), Counter()
+        seen, marked, sets = Counter(), Counter(), {}
         for b in batches:
-            for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
+            for i, text, label in zip(b.column("id").to_pylist(), b.column("text"), b.column("label").to_pylist(), strict=True):
                 own = set(terms(text.as_py()))
+                if i in several:
+                    sets.setdefault((several[i], label), set()).update(own)
+                    continue
                 seen.update(own)
                 if label:
                     marked.update(own)
-        names = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[t] for t in names], pa.int64()), pa.array([marked[t] for t in names], pa.int64())], ["term", "df", "df1"])
+        found = [(None, t, n, marked[t]) for t, n in seen.items()]
+        found += [(g, t, 1, label) for (g, label), own in sets.items() for t in own]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], kind) for j, kind in enumerate(kinds)], ["g", "term", "df", "df1"])
 
-    size = chosen.join(texts.select("id"), "id").agg(F.count("*"), F.sum("label")).first()
-    n, n1 = size[0], size[1] or 0
+    n, n1 = len(group_label), int(group_label.sum())
     n0 = n - n1
-    counts = rows.select("text", "label").mapInArrow(lean(presence), "term string, df long, df1 long").groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("df1").cast("double").alias("df1"))
+    # what a group's rows hold counts once, wherever they lie; rows of no group are added up
+    once = lambda col: F.when(F.col("g").isNull(), F.sum(col)).otherwise(F.max(col)).alias(col)
+    counts = rows.select("id", "text", "label").mapInArrow(lean(presence), "g long, term string, df long, df1 long").groupBy("g", "term").agg(once("df"), once("df1"))
+    counts = counts.groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("df1").cast("double").alias("df1"))
     a, c = F.col("df1"), F.col("df") - F.col("df1")
 
     def part(cell: Column, of: Column, total: float) -> Column:
@@ -180,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     if n0 and n1:
         tried = counts.count()
         least = 2 * float(np.log(max(2, tried) / BY_CHANCE))
-        found = counts.withColumn("ratio", ratio).where((F.col("ratio") >= least) & (a * n0 > c * n1)).orderBy(F.desc("ratio"), "term").limit(vocabulary).collect()
+        found = counts.withColumn("ratio", ratio).where((F.col("ratio") >= least) & (a * n0 > c * n1)).orderBy(F.desc("ratio"), "term").collect()
     number = {r["term"]: i for i, r in enumerate(found)}
     idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in found])
 
@@ -191,10 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
 
     kind = rows.schema["id"].dataType.simpleString()
     got = sorted(rows.mapInArrow(lean(vectors), f"id {kind}, label int, term array<string>, tf array<int>").collect(), key=lambda r: r["id"])
+    for path in spent | _files(rows):
+        drop_path(docs.sparkSession, path)
     model = Model(number, idf, Index.build(np.zeros(0, np.int64), np.zeros(0), [], len(number)), 0.0, 1.0, 0.0, k)
     if not got:
         return model
-    plain = [r["label"] for r in got if not r["term"]]
+    plain = [group_label[g] for g in {group[r["id"]] for r in got if not r["term"]}]
     model.base = (sum(plain) + 0.5 * n1 / n) / (len(plain) + 0.5)
     got = [r for r in got if r["term"]]
     vecs = [model.vector(Counter(dict(zip(r["term"], r["tf"], strict=True)))) for r in got]
@@ -213,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """df's columns (or those of `keep`) with score and evidence. The model is broadcast; `examples` and `vocabulary` bound its size."""
+    """df's columns (or those of `keep`) with score and evidence. The model is broadcast; `examples` bounds its size."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -224,6 +224,21 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.score(awkward, none).where("score > 0").isEmpty()
 
 
+def test_toxic_terms_survive_copies_of_one_text(spark):
+    """Neither a bound on the vocabulary nor many near copies of one labelled text keep out the terms that mark label 1."""
+    rng = random.Random(6)
+    name = lambda n: "".join(chr(97 + n // 26**j % 26) for j in range(3))
+    insults, plain, own = (["".join((p, name(n))) for n in range(size)] for p, size in (("i", 600), ("p", 400), ("o", 550)))
+    rows = [(" ".join(rng.sample(plain, 60)), 0) for _ in range(200)]
+    rows += [(" ".join(rng.sample(plain, 40) + rng.sample(insults, 200)), 1) for _ in range(80)]
+    rows += [(" ".join([*own, f"x{name(n)}"]), 1) for n in range(150)] + [(" ".join(own), 1)] * 50
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(insults) <= set(model.number) and not set(own) & set(model.number)
+    assert model.score(" ".join(plain[:50] + insults[:3]))[0] > 0.5 and model.score(" ".join(plain[:50] + own[:20]))[0] < 0.5
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(8)
     vecs = []
