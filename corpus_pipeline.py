@@ -1,7 +1,7 @@
 """From documents to packed training sequences. Each stage works on all that the one before kept; each result is a Parquet table.
 
 Rejected: by language ID, documents without a letter or whose n-grams lie in no profile; by toxicity, documents predicted toxic; by
-near-dedup, all but the smallest id of each group; by decontamination, documents in which a benchmark window occurs.
+near-dedup, all but the smallest id of each group (null ids are in none); by decontamination, documents in which a benchmark window occurs.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows with one id, one."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id")
-    return one.dropDuplicates(["doc_id"])
+    """One document of each group stays, that with the smallest id. A document is an id with a text: rows that share both are one, rows
+    that share only the id are judged each by its own text. Null ids link with nothing and stay, every row of them."""
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("__row", F.xxhash64("doc_id", "text"))
+    near = neardup.near_duplicates(rows, id_col="__row").select("__row", "component_id")
+    named = near.join(rows.select("__row", "doc_id").distinct(), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*")
+    one = rows.join(first, ["__row", "doc_id"]).dropDuplicates(["__row", "doc_id"])
+    return one.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

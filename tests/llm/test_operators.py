@@ -283,3 +283,17 @@ def test_pipeline(spark):
     assert len(left) > 0.8 * docs.count()
     packed = c.run(spark, D)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_pipeline_dedup_keeps_null_and_repeated_ids(spark, awkward, empty):
+    import corpus_pipeline as c
+
+    text = lambda p: " ".join(f"{p}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("d") + " e"), (5, None), (5, ""), (None, text("f")), (None, text("g")), (None, text("g")), (None, None)]
+    kept = c.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    gone = [(2, text("a")), (2, text("b")), (4, text("d") + " e")]
+    want = list(rows)
+    for r in gone:  # a copy of 1's, one of two equal rows, a near copy of 3's
+        want.remove(r)
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+    assert c.dedup(spark, awkward, D).count() == len(AWKWARD) - 1 and c.dedup(spark, empty, D).isEmpty()
