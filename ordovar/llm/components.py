@@ -1,28 +1,29 @@
 """Connected components of an edge table, distributed, by alternating large-star and small-star steps.
 
-Every round is cut with checkpoint(), so that a lost executor costs one round and the plan stays short. Nothing but two sums reaches
-the driver.
+Every round is written to the shared folder and the one before is dropped, so that a lost executor costs one round, the plan stays
+short and the disk holds two rounds. Nothing but a count and a hash sum of each round reaches the driver. A hot centre's neighbours are
+aggregated before they are shuffled; the join that hands its label back is split by adaptive execution.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import shared_dir
+from ordovar.llm.common import drop_path, scratch
 
 
 def _largest(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """edges: u > v, here and in the result."""
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.select("u", "v").union(back).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return back.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """edges: u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -30,15 +31,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Null ends, loops and repeated edges are no links. No edges: no rows.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct().checkpoint()
-    mark = None
+    spark = edges.sparkSession
+
+    def settled(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        seen, path = Observation(), scratch(spark, "edges")
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+        got = seen.get
+        return spark.read.schema("u long, v long").parquet(path), path, (got["n"], got["h"])
+
+    ends = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x is not null and y is not null and x <> y")
+    now, path, mark = settled(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     for _ in range(max_rounds):
-        now = _smallest(_largest(now)).checkpoint()
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(got) == mark:
+        if not mark[0]:
+            break
+        spent, before = path, mark
+        now, path, mark = settled(_smallest(_largest(now)))
+        drop_path(spark, spent)
+        if mark == before:
             break
-        mark = tuple(got)
     else:
         raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,29 +4,31 @@ Two collections of half-keys are made from few minhashes: `left` keys of 3 and `
 and one right key, so left * right tables cost 3 * left + 2 * right minhashes, about the square root of what separate tables need.
 With 18 and 12, a pair at the threshold of 0.75 shares a table with probability 0.9999.
 
-Steps. (1) Equal shingle sets become one representative, the smallest id. (2) Half-keys that nobody shares cannot be part of a shared
-table key and go before the pairs are formed. (3) In each table bucket all members are compared with the member whose half-keys are
-the most shared, not with each other. (4) Confirmed links give components. (5) What shares a bucket and is
-not connected yet gets an exact search of its own, by prefixes: with shingles ordered from rare to frequent, two sets that are similar
-enough share one of the first n - ceil(0.75 n) + 1. Pairs in different components that do are compared; so no pair of a bucket is
-lost, and members that share only a frequent passage make no pairs. (6) Components of all links. Buckets are never gathered: leaders
-come from pre-aggregated maxima, members join them and a hot bucket's join is split.
-
-Rows without words have no shingles, link with nothing and are kept. Rows with equal id are one document. Null ids link with nothing
-and are kept. Repeated rows are equal sets. Further columns are ignored.
+Steps. (1) Equal shingle sets become one representative, the smallest id. (2) Left half-keys that nobody shares cannot be part of a
+shared table key and go. (3) In each left bucket all members are compared, not with each other, but with its leader, the member whose
+left keys are the most shared, if a right key of both is equal too: then they share a table. The table keys of a pair are so formed
+where its left keys meet, and never written out. (4) Links that the full sets confirm give components. (5) Left buckets that still
+hold several components are split into their tables; what shares such a table gets an exact search of its own, by prefixes: with
+shingles ordered from rare to frequent, two sets that are similar enough share one of the first n - ceil(0.75 n) + 1. Pairs in
+different components that do are compared; so no pair of a table is lost, and members that share only a frequent passage make no
+pairs: a shingle's group is left out before any pair is formed when the sizes in it allow none. (6) Components of all links. Buckets are
+never gathered: leaders come from pre-aggregated maxima, members join them and a hot bucket's join is split.
+
+Rows without words have no shingles, link with nothing and are kept. Rows that share an id but not the set are judged each by its own
+set; links of either are links of the id. Null ids link with nothing and are kept. Repeated rows are equal sets. Further columns are
+ignored but for those of `carry`, which the result has too.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import LOWER, drop_path, lean, mix64, text_slices, word_hashes, word_spans, written
+from ordovar.llm.common import LOWER, drop_path, lean, mix64, stored, text_slices, word_hashes, word_spans, written
 from ordovar.llm.components import components
 
 WORDS = 5
@@ -87,8 +89,8 @@ def half_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return keys(mins[:cut], LEFT_ROWS), keys(mins[cut:], RIGHT_ROWS)
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, f1, f2, lefts, rights): size and fingerprint of each row's shingle set, and its half-keys."""
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n, f1, f2, lefts, rights, *carry): size and fingerprint of each row's shingle set, and its half-keys."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,25 +102,41 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 arrays = [
                     batch.column("id").slice(row, end - row), pa.array(np.diff(at)), pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)), pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
                     *(pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(k).view(np.int64).ravel())) for k in (lefts, rights)),
+                    *(batch.column(c).slice(row, end - row) for c in kept),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "f1", "f2", "lefts", "rights"])
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "f1", "f2", "lefts", "rights", *kept])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(kernel), "id long, n long, f1 long, f2 long, lefts array<long>, rights array<long>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    kept = rows.columns[2:]
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(lean(kernel), f"id long, n long, f1 long, f2 long, lefts array<long>, rights array<long>{kinds}")
 
 
-def _shared(reps: DataFrame, col: str) -> DataFrame:
-    """(rep, keys, uses): of each representative the half-keys that others have too, and how many have them."""
-    rows = reps.select("rep", F.explode(col).alias("key"))
+def left_buckets(reps: DataFrame) -> DataFrame:
+    """(key, rep, n, uses): the left keys that representatives share; uses: how many rows share any left key of this one."""
+    rows = reps.select("rep", "n", F.explode("lefts").alias("key"))
     often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    return rows.join(often, "key").groupBy("rep").agg(F.collect_list("key").alias(col), F.sum("c").alias(f"{col}_uses"))
+    return rows.join(often, "key").groupBy("rep", "n").agg(F.sum("c").alias("uses"), F.collect_list("key").alias("keys")).select(F.explode("keys").alias("key"), "rep", "n", "uses")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(key, rep, n, uses): the tensored table keys of each representative."""
-    lefts, rights = _shared(reps, "lefts"), _shared(reps, "rights")
-    both = reps.select("rep", "n").join(lefts, "rep").join(rights, "rep").select("rep", "n", (F.col("lefts_uses") + F.col("rights_uses")).alias("uses"), "lefts", "rights")
-    return both.select("rep", "n", "uses", "rights", F.explode("lefts").alias("l")).select("rep", "n", "uses", "l", F.explode("rights").alias("r")).select(F.xxhash64("l", "r").alias("key"), "rep", "n", "uses")
+def star_pairs(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a left bucket's leader with its members, where a right key of both is equal too."""
+    leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"))
+    star = table.join(leaders.select("key", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "key").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
+    rights = reps.select("rep", "rights")
+    met = star.select("rep", "lead").distinct().join(rights, "rep").join(rights.select(F.col("rep").alias("lead"), F.col("rights").alias("others")), "lead").where(F.arrays_overlap("rights", "others"))
+    return met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+
+
+def unconnected(table: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """(rep, n, component) of what shares a table with another component. Of a left bucket of two, the leader's pair was all."""
+    named = table.select("key", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    span = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    mixed = named.groupBy("key").agg(*span, F.count("*").alias("c")).where("lo <> hi and c > 2").select("key")
+    open_ = named.join(mixed, "key", "left_semi").join(reps.select("rep", "rights"), "rep")
+    tables = open_.select("key", "rep", "n", "component", F.explode("rights").alias("r")).select(F.xxhash64("key", "r").alias("key"), "rep", "n", "component")
+    split = tables.groupBy("key").agg(*span).where("lo <> hi").select("key")
+    return tables.join(split, "key", "left_semi").select("rep", "n", "component").distinct()
 
 
 def _alike(a: str, b: str, percent: int) -> F.Column:
@@ -146,57 +164,62 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 def by_prefix(rest: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of rest (rep, n, component) in different components that can be similar enough, by the prefix rule."""
+    owns = ["rep", "n", "component"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, buf, offsets in text_slices(batch, "t"):
                 sets, at = shingle_sets(buf, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(row, end - row).take(pa.array(np.repeat(np.arange(end - row), np.diff(at)))), pa.array(sets.view(np.int64))], ["rep", "shingle"])
+                who = pa.array(np.repeat(np.arange(row, end), np.diff(at)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in owns), pa.array(sets.view(np.int64))], [*owns, "shingle"])
 
-    rows = texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "t").mapInArrow(lean(kernel), "rep long, shingle long")
+    rows = rest.join(texts.select(F.col("id").alias("rep"), "t"), "rep").mapInArrow(lean(kernel), "rep long, n long, component long, shingle long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(often, "shingle")
     # shingles of no other set come first and match nothing; what is left of the prefix is taken from the shared ones
-    open_ = shared.groupBy("rep").agg(F.count("*").alias("m")).join(rest, "rep")
-    need = F.floor(F.col("n") * (100 - percent) / 100).cast("long") + 1 - (F.col("n") - F.col("m"))
-    open_ = open_.withColumn("need", need).where("need > 0").select("rep", "n", "m", "component", "need")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    prefix = shared.join(open_, "rep").withColumn("place", place).where(F.col("place") <= F.col("need")).select("shingle", "rep", "n", "component", (F.col("m") - F.col("place")).alias("after"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    # the first shingle that two sets share, with all that follow it in the shorter rest, bounds what they can share
-    enough = (1 + F.least("x.after", "y.after")) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    own = rows.join(often, "shingle").groupBy(*owns).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    need = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("s")).cast("int")
+    prefix = own.withColumn("m", F.size("s")).withColumn("need", need).where("need > 0")
+    prefix = prefix.select(*owns, "m", F.posexplode(F.slice("s", F.lit(1), F.col("need"))).alias("at", "x")).select("x.shingle", *owns, (F.col("m") - F.col("at")).alias("left"))
+    # the first shingle that two sets share, with all that follow it in the shorter rest, bounds what they can share; v, n of a group say whether any two can
+    v = (100 + percent) * F.col("left") - percent * F.col("n")
+    spans = prefix.groupBy("shingle").agg(F.max(v).alias("most"), F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    able = prefix.join(spans, "shingle").where((v >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("shingle", *owns, "left")
+    x, y = able.alias("x"), able.alias("y")
+    enough = F.least("x.left", "y.left") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     cross = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _alike("x.n", "y.n", percent) & enough)
     return cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n_shingles, component_id, kept, *carry) of every row."""
     spark = df.sparkSession
-    own = written(spark, sketches(df, id_col, text_col), "sketches")
-    reps = own.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    keys = own.where("n > 0").join(reps.select(F.col("rep").alias("id"), "rep", "n").distinct(), ["id", "n"], "inner").select("rep", "n", "lefts", "rights").dropDuplicates(["rep", "n"])
-    table = written(spark, buckets(keys), "buckets")
-    leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"), F.count("*").alias("c")).where("c > 1")
-    star = table.join(leaders.select("key", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "key").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
-    pairs = star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct().checkpoint()
+    spent = []
+
+    def step(frame: DataFrame, name: str) -> DataFrame:
+        out, path = stored(spark, frame, name)
+        spent.append(path)
+        return out
+
+    own = written(spark, sketches(df, id_col, text_col, carry), "sketches")
+    first = own.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lefts", "rights")).alias("x"))
+    reps = written(spark, first.select("f1", "f2", "n", F.col("x.id").alias("rep"), "x.lefts", "x.rights"), "reps")
+    table = step(left_buckets(reps), "buckets")
+    pairs = step(star_pairs(table, reps, percent), "pairs")
     members = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    texts = written(spark, members.join(table.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
-    links = confirmed(pairs, texts, percent).checkpoint()
+    texts = step(members.join(table.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+    links = step(confirmed(pairs, texts, percent), "links")
     comp = components(links)
-    # what shares a bucket and is not connected yet
-    named = table.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(mixed, "key", "left_semi").select("rep", "n", "component").distinct().checkpoint()
-    more = by_prefix(rest, texts, percent).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    rest = step(unconnected(table, reps, comp), "rest")
+    more = step(by_prefix(rest, texts, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        found = confirmed(more, texts, percent).checkpoint()
+        found = step(confirmed(more, texts, percent), "found")
         if not found.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-    for done in (table, texts):  # what follows needs only the sketches and the checkpoints
-        for path in {os.path.dirname(f) for f in done.inputFiles()}:
-            drop_path(spark, path)
+    for path in spent:  # what follows needs only sketches, representatives and components
+        drop_path(spark, path)
     labels = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    named_rows = own.select("id", "n", "f1", "f2").join(labels, ["f1", "f2", "n"], "left")
+    named_rows = own.drop("lefts", "rights").join(labels, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(component)
-    return named_rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = named_rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
