@@ -32,9 +32,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id. A document is an id with a text: rows that share both are one, rows
     that share only the id are judged each by its own text. Null ids link with nothing and stay, every row of them."""
     rows = docs.where(F.col("doc_id").isNotNull()).withColumn("__row", F.xxhash64("doc_id", "text"))
-    near = neardup.near_duplicates(rows, id_col="__row").select("__row", "component_id")
-    named = near.join(rows.select("__row", "doc_id").distinct(), "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*")
+    near = neardup.near_duplicates(rows, id_col="__row", carry=["doc_id"])
+    first = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*")
     one = rows.join(first, ["__row", "doc_id"]).dropDuplicates(["__row", "doc_id"])
     return one.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
