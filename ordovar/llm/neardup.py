@@ -12,7 +12,7 @@ hold several components are split into their tables; what shares such a table ge
 shingles ordered from rare to frequent, two sets that are similar enough share one of the first n - ceil(0.75 n) + 1. Pairs in
 different components that do are compared; so no pair of a table is lost, and members that share only a frequent passage make no
 pairs: a shingle's group is left out before any pair is formed when the sizes in it allow none. (6) Components of all links. Buckets are
-never gathered: leaders come from pre-aggregated maxima, members join them and a hot bucket's join is split.
+never gathered: leaders come from pre-aggregated maxima, and the leaders of hot buckets are broadcast to their members.
 
 Rows without words have no shingles, link with nothing and are kept. Rows that share an id but not the set are judged each by its own
 set; links of either are links of the id. Null ids link with nothing and are kept. Repeated rows are equal sets. Further columns are
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import LOWER, drop_path, lean, mix64, stored, text_slices, word_hashes, word_spans, written
+from ordovar.llm.common import LOWER, drop_path, joined_hot, lean, mix64, stored, text_slices, word_hashes, word_spans, written
 from ordovar.llm.components import components
 
 WORDS = 5
@@ -115,14 +115,15 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 def left_buckets(reps: DataFrame) -> DataFrame:
     """(key, rep, n, uses): the left keys that representatives share; uses: how many rows share any left key of this one."""
     rows = reps.select("rep", "n", F.explode("lefts").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    return rows.join(often, "key").groupBy("rep", "n").agg(F.sum("c").alias("uses"), F.collect_list("key").alias("keys")).select(F.explode("keys").alias("key"), "rep", "n", "uses")
+    often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("users", F.col("c"))
+    shared = joined_hot(rows, often, "key", LEFT * reps.count(), "rep")
+    return shared.groupBy("rep", "n").agg(F.sum("users").alias("uses"), F.collect_list("key").alias("keys")).select(F.explode("keys").alias("key"), "rep", "n", "uses")
 
 
 def star_pairs(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of a left bucket's leader with its members, where a right key of both is equal too."""
-    leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"))
-    star = table.join(leaders.select("key", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "key").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
+    leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"), F.count("*").alias("c"))
+    star = joined_hot(table, leaders.select("key", "c", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "key", table.count(), "rep").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
     rights = reps.select("rep", "rights")
     met = star.select("rep", "lead").distinct().join(rights, "rep").join(rights.select(F.col("rep").alias("lead"), F.col("rights").alias("others")), "lead").where(F.arrays_overlap("rights", "others"))
     return met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
@@ -131,12 +132,13 @@ def star_pairs(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def unconnected(table: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
     """(rep, n, component) of what shares a table with another component. Of a left bucket of two, the leader's pair was all."""
     named = table.select("key", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    span = [F.min("component").alias("lo"), F.max("component").alias("hi")]
-    mixed = named.groupBy("key").agg(*span, F.count("*").alias("c")).where("lo <> hi and c > 2").select("key")
-    open_ = named.join(mixed, "key", "left_semi").join(reps.select("rep", "rights"), "rep")
+    span = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")]
+    total = table.count()
+    mixed = named.groupBy("key").agg(*span).where("lo <> hi and c > 2")
+    open_ = joined_hot(named, mixed, "key", total, "rep").drop("lo", "hi").join(reps.select("rep", "rights"), "rep")
     tables = open_.select("key", "rep", "n", "component", F.explode("rights").alias("r")).select(F.xxhash64("key", "r").alias("key"), "rep", "n", "component")
-    split = tables.groupBy("key").agg(*span).where("lo <> hi").select("key")
-    return tables.join(split, "key", "left_semi").select("rep", "n", "component").distinct()
+    split = tables.groupBy("key").agg(*span).where("lo <> hi")
+    return joined_hot(tables, split, "key", RIGHT * total, "rep").select("rep", "n", "component").distinct()
 
 
 def _alike(a: str, b: str, percent: int) -> F.Column:
@@ -174,16 +176,17 @@ def by_prefix(rest: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in owns), pa.array(sets.view(np.int64))], [*owns, "shingle"])
 
     rows = rest.join(texts.select(F.col("id").alias("rep"), "t"), "rep").mapInArrow(lean(kernel), "rep long, n long, component long, shingle long")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    total = rest.agg(F.sum("n")).first()[0] or 0
+    often = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").withColumn("df", F.col("c"))
     # shingles of no other set come first and match nothing; what is left of the prefix is taken from the shared ones
-    own = rows.join(often, "shingle").groupBy(*owns).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    own = joined_hot(rows, often, "shingle", total, "rep").groupBy(*owns).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     need = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("s")).cast("int")
     prefix = own.withColumn("m", F.size("s")).withColumn("need", need).where("need > 0")
     prefix = prefix.select(*owns, "m", F.posexplode(F.slice("s", F.lit(1), F.col("need"))).alias("at", "x")).select("x.shingle", *owns, (F.col("m") - F.col("at")).alias("left"))
     # the first shingle that two sets share, with all that follow it in the shorter rest, bounds what they can share; v, n of a group say whether any two can
     v = (100 + percent) * F.col("left") - percent * F.col("n")
-    spans = prefix.groupBy("shingle").agg(F.max(v).alias("most"), F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    able = prefix.join(spans, "shingle").where((v >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("shingle", *owns, "left")
+    spans = prefix.groupBy("shingle").agg(F.max(v).alias("most"), F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    able = joined_hot(prefix, spans, "shingle", total, "rep").where((v >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("shingle", *owns, "left")
     x, y = able.alias("x"), able.alias("y")
     enough = F.least("x.left", "y.left") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     cross = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _alike("x.n", "y.n", percent) & enough)
