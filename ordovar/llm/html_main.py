@@ -26,13 +26,21 @@ from pyspark.sql import functions as F
 
 # -- parsing
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
+#: A start tag whose attributes may hold > in quotes, and one up to the next >.
+_TAG = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe noframes xmp template svg math object canvas select".split())
-SILENT = RAW | frozenset("head button option datalist audio video map".split())
+#: Elements whose content is no markup: up to their end tag, or the page's end.
+RAW = frozenset("script style textarea title iframe noframes xmp noembed".split())
+SILENT = frozenset("head noscript template svg math object canvas select button option optgroup datalist audio video map".split())
+#: Elements that may be closed by their own start tag, and such as hold no blocks, so that a block's start tag ends them.
+SELF_CLOSED = frozenset("svg math".split())
+NO_BLOCKS = frozenset("select option optgroup datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -95,9 +103,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[Block, str]]]:
     root = Block("body", None, 0, 0)
     blocks, runs = [root], []
     stack: list[tuple[str, Block]] = [("html", root)]  # open elements with the block that they are or lie in
+    open_: dict[str, int] = {}  # how many elements of a name are open
+    inside: list[int] = []  # places of open blocks in the stack
     buffer: list[str] = []
     silent, links, linked = 0, 0, 0
-    lower, at, n = "", 0, len(page)
+    lower, at, n, plain = "", 0, len(page), False
 
     def flush() -> None:
         nonlocal linked
@@ -123,80 +133,109 @@ def parse(page: str) -> tuple[list[Block], list[tuple[Block, str]]]:
             if links:
                 linked += len(piece)
 
+    def push(tag: str, block: Block) -> None:
+        nonlocal silent, links
+        open_[tag] = open_.get(tag, 0) + 1
+        if tag in BLOCK:
+            inside.append(len(stack))
+        stack.append((tag, block))
+        silent += tag in SILENT
+        links += tag == "a"
+
     def pop_to(k: int) -> None:
         nonlocal silent, links
-        if any(t in BLOCK for t, _ in stack[k:]):
+        if inside and inside[-1] >= k:
             flush()
         for t, _ in stack[k:]:
             silent -= t in SILENT
             links -= t == "a"
+            open_[t] -= 1
         del stack[k:]
+        while inside and inside[-1] >= k:
+            inside.pop()
+
+    def end_of(tag: str) -> None:
+        if open_.get(tag):
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                k -= 1
+            pop_to(k)
+        elif tag in BLOCK or tag == "br":
+            flush()
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-            else:
-                if tag in BLOCK or tag == "br":
-                    flush()
-            continue
-        if tag in RAW:
-            if not lower:
-                lower = page.lower() if len(page.lower()) == n else "".join(c.lower() if c.isascii() else c for c in page)
-            end = lower.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = n if close < 0 else close + 1
-            continue
+    def start_of(tag: str, attrs: str) -> None:
         if tag == "br":
             buffer.append(" ")
-            continue
-        if tag in BLOCK:
+        elif tag in BLOCK:
+            while any(open_.get(t) for t in NO_BLOCKS) and stack[-1][0] in NO_BLOCKS:
+                pop_to(len(stack) - 1)
             flush()
             if tag in ("html", "body"):
-                root.groups |= _groups(tag, m[3] or m[6] or "")
-                continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+                root.groups |= _groups(tag, attrs)
+                return
+            if tag in CLOSES_P and inside and stack[inside[-1]][0] == "p":
+                pop_to(inside[-1])
             if tag in ENDS:
                 mine, holders = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in mine:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in holders:
-                        break
+                if any(open_.get(t) for t in mine):
+                    for k in reversed(inside):
+                        if stack[k][0] in mine:
+                            pop_to(k)
+                            break
+                        if stack[k][0] in holders:
+                            break
             if tag == "hr":
-                continue
+                return
             up = stack[-1][1]
-            b = Block(tag, up, up.depth + 1, _groups(tag, m[3] or m[6] or ""))
+            b = Block(tag, up, up.depth + 1, _groups(tag, attrs))
             b.place = len(up.children)
             up.children.append(b)
             blocks.append(b)
-            stack.append((tag, b))
-        elif tag not in VOID:
-            if (m[3] or m[6] or "").rstrip().endswith("/"):
-                continue
+            push(tag, b)
+        elif tag not in VOID and not (tag in SELF_CLOSED and attrs.endswith("/")):
             stack[-1][1].tags += 1
-            stack.append((tag, stack[-1][1]))
-            silent += tag in SILENT
-            links += tag == "a"
+            push(tag, stack[-1][1])
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            add(page[at:])
+            break
+        add(page[at:lt])
+        kind = page[lt + 1 : lt + 2]
+        if kind in ("!", "?") or (kind == "/" and not _END.match(page, lt)):
+            if page.startswith("<!--", lt):
+                m = _COMMENT_END.search(page, lt + 2)
+                at = m.end() if m else n
+            else:
+                at = page.find(">", lt) + 1 or n
+            continue
+        if kind == "/":
+            m = _END.match(page, lt)
+            at = m.end()
+            end_of(m[1].lower())
+            continue
+        if not (kind.isascii() and kind.isalpha()):
+            add("<")
+            at = lt + 1
+            continue
+        m = None if plain else _TAG.match(page, lt)
+        if m is None:  # a quote that nothing closes: from here on, quotes hide no >
+            plain = True
+            m = _PLAIN.match(page, lt)
+        if m is None:  # no > ahead: no tag either
+            add(page[lt:])
+            break
+        at = m.end()
+        tag, attrs = m[1].lower(), m[2].rstrip()
+        if tag in RAW:
+            if not lower:
+                lower = page.lower() if len(page.lower()) == n else "".join(c.lower() if c.isascii() else c for c in page)
+            end = lower.find(f"</{tag}", at)
+            close = page.find(">", end) if end >= 0 else -1
+            at = n if close < 0 else close + 1
+            continue
+        start_of(tag, attrs)
     while len(stack) > 1:
         pop_to(len(stack) - 1)
     flush()
@@ -367,12 +406,27 @@ def made_page(rng: np.random.Generator) -> str:
         return box(("share", "social", "follow"), ("div", "ul", "p"), pick(links(3), some(1, 6)), 0)
 
     body = []
-    short = chance(0.15)
+    short = chance(0.25)
     for _ in range(1 if short else rng.integers(1, 12)):
-        n = int(rng.integers(1, 10)) if short or chance(0.3) else int(rng.integers(8, 120))
-        kind = pick(*(("p",) * 12), "h2", "blockquote", "ul", "pre", "div", "br") if chance(0.4) else "p"
+        n = int(rng.integers(1, pick(10, 70))) if short else int(rng.integers(1, 10)) if chance(0.3) else int(rng.integers(8, 120))
+        kind = pick(*(("p",) * 6), "h2", "h3", "blockquote", "quote", "ul", "ol", "pre", "div", "br", "table", "figure", "dl", "address") if chance(0.45) else "p"
         text = prose(n, True)
-        if kind == "ul":
+        cell = lambda tag, lo=1, hi=9: f"<{tag}>{prose(int(rng.integers(lo, hi)), True)}</{tag}>"
+        if kind == "table":
+            wide = int(rng.integers(2, 5))
+            caption = cell("caption") if chance(0.3) else ""
+            topmost = f"<thead><tr>{''.join(cell('th', 1, 4) for _ in range(wide))}</tr></thead>" if chance(0.5) else ""
+            lines = "".join(f"<tr>{''.join(cell('th' if i == 0 and chance(0.2) else 'td', 1, 6) for i in range(wide))}</tr>" for _ in range(rng.integers(2, 9)))
+            body.append(f"<table{pick('', ' class=data', ' class=wikitable')}>{caption}{topmost}{f'<tbody>{lines}</tbody>' if chance(0.6) else lines}</table>")
+        elif kind == "figure":
+            body.append(f"<figure{pick('', ' class=image')}>{pick('<img src=a.png>', '<pre>' + prose(6, True) + '</pre>')}{cell('figcaption', 2, 30)}</figure>")
+        elif kind == "dl":
+            body.append("<dl>" + "".join(cell("dt", 1, 4) + cell("dd", 2, 30) for _ in range(rng.integers(1, 6))) + "</dl>")
+        elif kind == "quote":
+            body.append("<blockquote>" + "".join(item("p", prose(int(rng.integers(4, 50)), True)) for _ in range(rng.integers(1, 3))) + (cell(pick("cite", "p"), 1, 5) if chance(0.25) else "") + "</blockquote>")
+        elif kind == "ol":
+            body.append("<ol>" + "".join(item("li", prose(int(rng.integers(2, 30)), True)) for _ in range(rng.integers(2, 7))) + "</ol>")
+        elif kind == "ul":
             body.append("<ul>" + "".join(item("li", prose(int(rng.integers(1, 15)), True)) for _ in range(rng.integers(2, 6))) + "</ul>")
         elif kind == "br":
             body.append(f"{text}<br>{prose(5, True)}<br>")
@@ -380,10 +434,10 @@ def made_page(rng: np.random.Generator) -> str:
             body.append(f"<p><b>{text}<br>")
         else:
             body.append(item(kind, text))
-        if chance(0.06):
-            body.append(pick(ad, ad, share, side, form, note)())
+        if chance(0.12):
+            body.append(pick(ad, ad, ad, share, side, form, note)())
     title = f"<h1>{prose(int(rng.integers(2, 12)), True)}</h1>"
-    inner = (title if chance(0.8) else "") + "".join(body)
+    inner = (title if chance(0.3 if short else 0.8) else "") + "".join(body)
     if chance(0.15):
         inner = f"<div>{inner}</div>"
     tail = (replies() if chance(0.15) else "") + (share() if chance(0.1) else "")
@@ -403,7 +457,7 @@ def made_page(rng: np.random.Generator) -> str:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 600, seed: int = 7) -> Trees:
+def trained(pages: int = 800, seed: int = 7) -> Trees:
     rng = np.random.default_rng(seed)
     xs, ys, ws = [], [], []
     for _ in range(pages):
