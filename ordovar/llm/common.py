@@ -103,8 +103,9 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def joined_hot(rows: DataFrame, sums: DataFrame, key: str, total: int, spread: str) -> DataFrame:
+def joined_hot(rows: DataFrame, sums: DataFrame, key: str, total: int, spread: str, keep: bool = False) -> DataFrame:
     """rows joined with sums, which has one row a key and in `c` how many of the at most `total` rows the key has, and further columns.
+    keep: rows that find none stay, with nulls.
 
     Keys of more than a thousandth of all rows, of which there are fewer than a thousand, are broadcast and their rows stay where they
     are; the others are shuffled, the hot rows beside them by `spread`. So no key's rows meet in one task.
@@ -115,7 +116,8 @@ def joined_hot(rows: DataFrame, sums: DataFrame, key: str, total: int, spread: s
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int")
     marked = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt)
     cold = sums.where(F.col("c") <= least).select(key, F.struct(*names).alias("__cold"), F.lit(0).alias("__salt"))
-    got = marked.join(cold, [key, "__salt"], "left").withColumn("__got", F.coalesce("__hot", "__cold")).where(F.col("__got").isNotNull())
+    got = marked.join(cold, [key, "__salt"], "left").withColumn("__got", F.coalesce("__hot", "__cold"))
+    got = got if keep else got.where(F.col("__got").isNotNull())
     return got.select(*rows.columns, *(F.col(f"__got.{n}").alias(n) for n in names))
 
 

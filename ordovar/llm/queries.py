@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordovar.llm import ann, decontam, hmm, html_main, langid, neardup, packing, tokens, toxicity, warc
-from ordovar.llm.common import crc_mod, scratch, table
+from ordovar.llm.common import crc_mod, scratch, table, written
 
 
 def vocabulary_path() -> str:
@@ -53,7 +53,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.reassembled(warc.read_archives(spark, path))
+    records = warc.resolved(written(spark, warc.reassembled(warc.read_archives(spark, path), payloads=False), "records"))
     return records.select("page_id", F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "problem")
 
 

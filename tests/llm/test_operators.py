@@ -193,6 +193,40 @@ def test_warc(spark):
     assert all(r["problem"] is None for r in got) and {r["digest"] for r in got if r["page_id"] == 3} == {hashlib.sha256(b"x" * 50_000).hexdigest()}
     lacking = warc.reassembled(warc.read_archives(spark, path).where("number is null or number <> 2")).where("problem is not null")
     assert lacking.count() == 4
+    assert warc.resolved(warc.reassembled(warc.read_archives(spark, path))).where("problem is not null").isEmpty()
+    alone = warc.read_archives(spark, path).where("type = 'revisit'")
+    assert [r["problem"] for r in warc.resolved(warc.reassembled(alone)).collect()] == ["the response it names is missing"]
+
+
+def test_warc_empty_and_clashing_columns(spark):
+    path = scratch(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.resolved(warc.reassembled(warc.read_archives(spark, path))).isEmpty()
+    path = scratch(spark, "warc")
+    warc.write_archives(spark.createDataFrame([(1, "u", "x" * 300, "d", 3, 4), (2, "u", "x" * 300, "d", 3, 4)], "page_id long, url string, html string, digest string, first long, c long"), path)
+    got = warc.resolved(warc.reassembled(warc.read_archives(spark, path))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_length"], r["problem"]) for r in got) == [(1, "response", None, 300, None), (2, "revisit", 1, 300, None)]
+
+
+def test_warc_foreign_and_damaged_files(spark, tmp_path):
+    """One member a record, plain files, no framing, no digest; and files that are damaged beside them."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    make = lambda name, body, kind="response": warc.record(kind, f"<urn:x:{name}>", [], body) + b"\r\n"
+    pages = [make(i, http + b"page %d" % i) for i in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in [make("info", b"software: x", "warcinfo"), *pages[:3]]))
+    (tmp_path / "b.warc").write_bytes(pages[3] + pages[4])
+    payloads = lambda: sorted((bytes(r["payload"]) if r["payload"] is not None else b"", r["problem"]) for r in warc.reassembled(warc.read_archives(spark, str(tmp_path))).collect())
+    assert payloads() == [(b"page %d" % i, None) for i in range(5)]
+    whole = b"".join(gzip.compress(make(i, http + b"page %d" % i)) for i in (5, 6))
+    (tmp_path / "c.warc.gz").write_bytes(whole[:-20])
+    (tmp_path / "d.warc").write_bytes(make(7, http + b"page 7").replace(b"Content-Length: ", b"Content-Length: 9") + b"noise" + make(8, http + b"page 8") + b"WARC/1.1\r\nWARC-Type: response")
+    (tmp_path / "e.warc").write_bytes(make(9, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nno\r\n0\r\n\r\n"))
+    got = payloads()
+    assert [p for p, problem in got if problem is None] == [b"page %d" % i for i in (0, 1, 2, 3, 4, 5, 8)]
+    said = [problem for _, problem in got if problem is not None]
+    assert sum("length" in p for p in said) == 3 and "a chunk has no size" in said and any("gzip" in p for p in said)
 
 
 def test_packing(spark, awkward, empty):
