@@ -148,6 +148,35 @@ def test_nearest_neighbours(spark):
     assert ann.search(few, few).count() == 6
 
 
+def test_nearest_neighbours_verify_few():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((12_000, 48)) * rng.uniform(0.8, 1.2, (12_000, 1))
+    lines, hit, verified = ann.Lines(x, 20), 0, 0
+    for i in range(0, 12_000, 200):
+        skip = np.arange(12_000) == i
+        places, score, seen = lines.nearest(x[i], 20, skip)
+        verified += seen
+        s = np.where(skip, -np.inf, x @ x[i])
+        hit += len(set(places[np.argsort(-score)][:20]) & set(np.argsort(-s)[:20]))
+    assert hit >= 0.9 * 60 * 20 and verified <= 0.1 * 60 * 12_000
+
+
+def test_nearest_neighbours_ties_repeats_and_empty_tables(spark):
+    rng = np.random.default_rng(5)
+    far = rng.standard_normal((300, 6)).tolist()
+    rows = [(i, v, "x", 1.0, 7) for i, v in enumerate(far, 1000)]
+    rows += [(i, [9.0] * 6, "x", 1.0, 7) for i in (40, 7, 90, 7, 3, 60)]  # equal vectors, one row twice
+    rows += [(20, [9.0] * 6, "x", 1.0, 7), (21, [1.0, 2.0], "x", 1.0, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score double, rank int")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id = 20"), k=4, block_vectors=100).collect())
+    assert got == [(1, 3), (2, 7), (3, 7), (4, 40)]
+    assert ann.search(df, df.where("vec_id = 21"), k=4).isEmpty()
+    none = df.limit(0)
+    assert ann.search(df, none).isEmpty() and ann.search(none, df).isEmpty() and ann.search(none, none).isEmpty()
+    with pytest.raises(ValueError):
+        ann.search(df, df, block_vectors=70_000)
+
+
 def test_language_model(spark, awkward, empty):
     docs = table(spark, D, "documents")
     got = hmm.score(docs, crc_mod("doc_id", 7) != 2).collect()
