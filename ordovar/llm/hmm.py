@@ -5,8 +5,11 @@ of a text, and RARE classes of all other words by their last two bytes; inside a
 (c + 1) / (tokens + words + 1) of the class, and a word that training lacks (1) / (the same). So the model's tables are bounded
 (`states` x classes) and travel with the tasks, while the counts of all words of the corpus stay in a table that texts join.
 
-Training: expected counts of each partition are summed across partitions in blocks. Texts of more than SEGMENT tokens train as
-consecutive segments; their likelihood is exact: the transfer matrices of their segments are multiplied.
+`top` grows with the training vocabulary up to TOP, where class numbers fill 16 bits.
+
+Training: expected counts of each partition are summed across partitions in blocks, until a round gains less than GAIN of the log
+likelihood, or ROUNDS are done. Texts of more than SEGMENT tokens are worked on in segments side by side: the transfer matrices of
+the segments say what comes into each and what follows it, so that counts and likelihoods are those of the whole text.
 
 Null and empty texts are the end token alone. Rows with null id train. Repeated rows train and are scored each. Without training
 rows, every token is unknown. Words are told apart by 64-bit hashes; further columns are ignored.
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from ordovar.llm.common import LOWER, text_slices, word_hashes, word_spans, written
 
 STATES = 8
-TOP = 16_384
+TOP = 60_000
+#: Words that occur less often share the rare classes at any size, so that these show what is left for words that training lacks.
+OFTEN = 3
 RARE = 509
-ROUNDS = 3
+ROUNDS = 8
+GAIN = 0.005
 SEGMENT = 1024
 LANE_TOKENS = 300_000
 
@@ -91,7 +97,7 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, texts: int, top: int = TOP) -> Vocabulary:
-    head = counts.orderBy(F.desc("c"), "hash").limit(top).select("hash", "c").collect()  # at most `top` pairs of numbers
+    head = counts.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "hash").limit(top).select("hash", "c").collect()  # at most `top` pairs of numbers
     head.sort(key=lambda r: r["hash"])
     hashes, c = np.array([r["hash"] for r in head], np.int64), np.array([r["c"] for r in head], np.int64)
     tokens, words = np.zeros(RARE), np.zeros(RARE)
@@ -121,93 +127,106 @@ def first_guess(prior: np.ndarray, states: int) -> Hmm:
     return Hmm(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _lanes(first: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(begins, sizes) of segments, in groups of bounded size, long ones first."""
-    begins, sizes = [], []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        for s in range(a, b, longest):
-            begins.append(s)
-            sizes.append(min(longest, b - s))
-    begins, sizes = np.array(begins, np.int64), np.array(sizes, np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    begins, sizes = begins[order], sizes[order]
-    total = np.cumsum(sizes)
+@dataclass
+class Lanes:
+    """Segments of texts, longest first, and what is around each: the state probabilities before it (None: the text starts), the
+    likelihood of what follows by its last state (None: nothing does)."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    opens: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
+def _lanes(cls: np.ndarray, first: np.ndarray, model: Hmm, segment: int) -> Iterator[Lanes]:
+    """All segments, in groups of bounded size."""
+    k = len(model.start)
+    size = np.diff(first)
+    pieces = np.maximum(1, -(-size // segment))
+    owner = np.repeat(np.arange(len(size)), pieces)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = first[owner] + place * segment
+    lens = np.minimum(segment, first[owner + 1] - begin)
+    opens, before, after = place == 0, np.ones((len(owner), k)), np.ones((len(owner), k))
+    cut = np.flatnonzero(pieces[owner] > 1)
+    if len(cut):
+        maps = np.empty((len(cut), k, k))
+        order = np.argsort(-lens[cut], kind="stable")
+        for at in range(0, len(order), 1024):
+            part = cut[order[at : at + 1024]]
+            maps[order[at : at + 1024]], _ = _transfers(cls, begin[part], lens[part], opens[part], model)
+        v = model.start
+        for j, i in enumerate(cut):
+            before[i] = v
+            v = maps[j][0] if opens[i] else v @ maps[j]
+            v = v / v.sum()
+        for j in range(len(cut) - 2, -1, -1):
+            if not opens[cut[j + 1]]:
+                w = maps[j + 1] @ after[cut[j + 1]]
+                after[cut[j]] = w / w.max()
+    order = np.argsort(-lens, kind="stable")
+    total = np.cumsum(lens[order])
     at = 0
-    while at < len(sizes):
+    while at < len(order):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LANE_TOKENS, side="right")))
-        yield begins[at:end], sizes[at:end]
+        part = order[at:end]
+        yield Lanes(begin[part], lens[part], opens[part], before[part], after[part])
         at = end
 
 
-def expected(cls: np.ndarray, first: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of the texts, and their log10 likelihood (of long texts: of their segments)."""
+def expected(cls: np.ndarray, first: np.ndarray, model: Hmm, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of the texts, and their log10 likelihood."""
     k = len(model.start)
     starts, moves, emits, loglik = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), 0.0
-    for begin, size in _lanes(first, SEGMENT):
+    for lane in _lanes(cls, first, model, segment):
+        begin, size = lane.begin, lane.size
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
         offset = np.concatenate([[0], np.cumsum(live)])
         tokens = np.concatenate([cls[begin[:m] + t] for t, m in enumerate(live)])
         b = model.emit[tokens]
         alpha = np.empty_like(b)
         scale = np.empty(len(tokens))
+        entry = np.where(lane.opens[:, None], model.start, lane.before @ model.move)
         for t, m in enumerate(live):
             here = slice(offset[t], offset[t + 1])
-            a = b[here] * (model.start if t == 0 else alpha[offset[t - 1] : offset[t - 1] + m] @ model.move)
+            a = b[here] * (entry if t == 0 else alpha[offset[t - 1] : offset[t - 1] + m] @ model.move)
             scale[here] = a.sum(1)
             alpha[here] = a / scale[here, None]
         loglik += float(np.log10(scale).sum())
         b /= scale[:, None]
         post = np.empty_like(b)
-        beta = np.ones((len(begin), k))
+        last = alpha[offset[size - 1] + np.arange(len(size))]
+        beta = lane.after / (last * lane.after).sum(1)[:, None]
         for t in range(len(live) - 1, -1, -1):
             here = slice(offset[t], offset[t + 1])
             m = live[t]
             post[here] = alpha[here] * beta[:m]
+            right = b[here] * beta[:m]
             if t:
-                right = b[here] * beta[:m]
                 moves += alpha[offset[t - 1] : offset[t - 1] + m].T @ right
                 beta[:m] = right @ model.move.T
-        starts += post[: live[0]].sum(0)
+            elif not lane.opens.all():
+                inner = ~lane.opens
+                moves += lane.before[inner].T @ right[inner]
+        starts += post[: live[0]][lane.opens].sum(0)
         for s in range(k):
             emits[:, s] += np.bincount(tokens, post[:, s], len(emits))
     return starts, moves * model.move, emits, loglik
 
 
-def forward(cls: np.ndarray, first: np.ndarray, model: Hmm) -> np.ndarray:
+def forward(cls: np.ndarray, first: np.ndarray, model: Hmm, segment: int = SEGMENT) -> np.ndarray:
     """The exact log10 probability of each text's class sequence."""
-    n, k = len(first) - 1, len(model.start)
-    out = np.zeros(n)
-    size = np.diff(first)
-    short = np.flatnonzero(size <= SEGMENT)
-    order = short[np.argsort(-size[short], kind="stable")]
-    if len(order):
-        begin, lens = first[order], size[order]
-        alpha, total = np.empty((len(order), k)), np.zeros(len(order))
-        for t, m in enumerate(np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")):
-            a = model.emit[cls[begin[:m] + t]] * (model.start if t == 0 else alpha[:m] @ model.move)
+    out = np.zeros(len(first) - 1)
+    for lane in _lanes(cls, first, model, segment):
+        alpha, total = np.empty((len(lane.begin), len(model.start))), np.zeros(len(lane.begin))
+        entry = np.where(lane.opens[:, None], model.start, lane.before @ model.move)
+        for t, m in enumerate(np.searchsorted(-lane.size, -np.arange(1, lane.size[0] + 1), side="right")):
+            a = model.emit[cls[lane.begin[:m] + t]] * (entry if t == 0 else alpha[:m] @ model.move)
             s = a.sum(1)
             total[:m] += np.log10(s)
             alpha[:m] = a / s[:, None]
-        out[order] = total
-    long = np.flatnonzero(size > SEGMENT)
-    if len(long):
-        begin = np.concatenate([np.arange(first[i], first[i + 1], SEGMENT) for i in long])
-        owner = np.repeat(long, -(-size[long] // SEGMENT))
-        lens = np.minimum(SEGMENT, first[owner + 1] - begin)
-        maps, total = np.empty((len(begin), k, k)), np.empty(len(begin))
-        order = np.argsort(-lens, kind="stable")
-        for at in range(0, len(order), 1024):
-            part = order[at : at + 1024]
-            maps[part], total[part] = _transfers(cls, begin[part], lens[part], begin[part] == first[owner[part]], model)
-        at = 0
-        for i in long:
-            v, logp = model.start, 0.0
-            for j in range(at, at + -(-size[i] // SEGMENT)):
-                v = v @ maps[j] if j > at else maps[j][0]
-                s = v.sum()
-                v, logp = v / s, logp + np.log10(s) + total[j]
-            at += -(-size[i] // SEGMENT)
-            out[i] = logp
+        np.add.at(out, np.searchsorted(first, lane.begin, side="right") - 1, total)
     return out
 
 
@@ -282,10 +301,13 @@ def baum_welch(seqs: DataFrame, words: Vocabulary, states: int = STATES, rounds:
         total = np.concatenate([np.frombuffer(r["part"]) for r in sorted(got, key=lambda r: r["block"])])
         s, m, e, ll = np.split(total, np.cumsum([states, states * states, len(prior) * states]))
         history.append(float(ll[0]))
+        settled = len(history) > 1 and history[-1] - history[-2] < GAIN * abs(history[-2])
         s, m, e = s + 1e-3, m.reshape(states, states) + 1e-3, e.reshape(-1, states)
         e = e + 0.1 * (prior / prior.sum())[:, None]  # so that every class keeps some probability everywhere
         model = Hmm(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(0))
         shared.unpersist()
+        if settled:
+            break
     return model, history
 
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -177,10 +180,30 @@ def test_nearest_neighbours_ties_repeats_and_empty_tables(spark):
         ann.search(df, df, block_vectors=70_000)
 
 
+def check_base(got, rows, trains, ids=None):
+    """n_tokens, n_known, train_tokens and base_score by the contract's formula."""
+    count = Counter()
+    for i in ids or rows:
+        if trains(i):
+            count.update(words(rows[i]))
+            count[None] += 1
+    total, distinct = sum(count.values()), len(count)
+    for r in got:
+        own = [*words(rows[r["doc_id"]]), None]
+        base = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(own), sum(count[w] > 0 for w in own), total, not trains(r["doc_id"]))
+        assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["score"] < 0
+
+
 def test_language_model(spark, awkward, empty):
     docs = table(spark, D, "documents")
     got = hmm.score(docs, crc_mod("doc_id", 7) != 2).collect()
     assert sum(r["score"] > r["base_score"] for r in got if r["held_out"]) > 0.8 * sum(r["held_out"] for r in got)
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    check_base(got, rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
+    odd = hmm.score(awkward.where("doc_id is not null"), F.lit(True)).collect()
+    check_base(odd, dict(AWKWARD), lambda i: True, [i for i, _ in AWKWARD if i])
+    assert len({r["score"] for r in odd if r["doc_id"] == 6}) == 1 and len({r["score"] for r in odd if r["doc_id"] in (1, 2, 3)}) == 1
     assert len(hmm.score(awkward, F.lit(True)).collect()) == len(AWKWARD)
     assert hmm.score(awkward, F.lit(False)).where("n_known > 0").isEmpty() and hmm.score(empty, F.lit(True)).isEmpty()
 
@@ -200,6 +223,20 @@ def test_forward_is_exact():
         assert abs(got - total) < 1e-8 * max(1, abs(total))
 
 
+def test_long_texts_count_as_whole():
+    rng = np.random.default_rng(12)
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(7), 3).T)
+    lens = [3000, 1, 64, 65, 700, 128]
+    first = np.cumsum([0, *lens])
+    cls = rng.integers(0, 7, first[-1]).astype(np.uint16)
+    whole, cut = hmm.expected(cls, first, model, 10_000), hmm.expected(cls, first, model, 64)
+    for a, b in zip(whole, cut, strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+    assert abs(cut[0].sum() - len(lens)) < 1e-9 and abs(cut[1].sum() - (first[-1] - len(lens))) < 1e-6
+    assert np.allclose(hmm.forward(cls, first, model, 64), hmm.forward(cls, first, model, 10_000), rtol=1e-10)
+    assert abs(hmm.forward(cls, first, model).sum() - cut[3]) < 1e-6
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(4)
     first = np.arange(0, 2001, 50)
