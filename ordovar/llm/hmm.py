@@ -5,7 +5,7 @@ of a text, and RARE classes of all other words by their last two bytes; inside a
 (c + 1) / (tokens + words + 1) of the class, and a word that training lacks (1) / (the same). So the model's tables are bounded
 (`states` x classes) and travel with the tasks, while the counts of all words of the corpus stay in a table that texts join.
 
-`top` grows with the training vocabulary up to TOP, where class numbers fill 16 bits.
+`top` grows with the training vocabulary up to TOP, so that a partition's expected counts stay a few MB.
 
 Training: expected counts of each partition are summed across partitions in blocks, until a round gains less than GAIN of the log
 likelihood, or ROUNDS are done. Texts of more than SEGMENT tokens are worked on in segments side by side: the transfer matrices of
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from ordovar.llm.common import LOWER, text_slices, word_hashes, word_spans, written
 
 STATES = 8
-TOP = 60_000
+TOP = 32_000
 #: Words that occur less often share the rare classes at any size, so that these show what is left for words that training lacks.
 OFTEN = 3
 RARE = 509
-ROUNDS = 8
+ROUNDS = 6
 GAIN = 0.005
 SEGMENT = 1024
 LANE_TOKENS = 300_000
@@ -120,10 +120,11 @@ class Hmm:
 
 
 def first_guess(prior: np.ndarray, states: int) -> Hmm:
-    """Sticky moves, and emissions around the class frequencies; fixed by a seed, so that every run trains the same model."""
+    """Sticky moves, and class frequencies that are spread over the states unevenly, so that these part in few rounds; fixed by a seed, so
+    that every run trains the same model."""
     rng = np.random.default_rng(states)
-    emit = (prior + 1e-9)[:, None] * rng.uniform(0.5, 1.5, (len(prior), states))
-    move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
+    emit = (prior + 1e-9)[:, None] * (rng.gamma(0.3, 1, (len(prior), states)) + 0.02)
+    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     return Hmm(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -273,33 +274,36 @@ def baum_welch(seqs: DataFrame, words: Vocabulary, states: int = STATES, rounds:
     """The model, and each round's log10 likelihood before its step."""
     prior = np.concatenate([words.top_count, words.rare_tokens + 1, [words.texts + 1]]).astype(float)
     model, history = first_guess(prior / prior.sum(), states), []
-    cells = states + states * states + len(prior) * states + 1
+    cells = states + states * states + 1 + len(prior) * states
     cut = -(-cells // BLOCKS)
     rows = seqs.where("train").select("classes")
     for _ in range(rounds):
         shared = seqs.sparkSession.sparkContext.broadcast(model)
 
         def counts(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(cells)
+            total, part = np.zeros(cells), TaskContext.get().partitionId()
             for b in batches:
                 if b.num_rows:
                     s, m, e, ll = expected(*_sequences(b.column("classes")), shared.value)
-                    total += np.concatenate([s, m.ravel(), e.ravel(), [ll]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([total[i * cut : (i + 1) * cut].tobytes() for i in range(BLOCKS)], pa.binary()), pa.array(np.full(BLOCKS, TaskContext.get().partitionId() % 64, np.int32))], ["block", "part", "salt"])
+                    total += np.concatenate([s, m.ravel(), [ll], e.ravel()])
+            # the partitions' sums travel in single precision, but for the likelihood and the moves in the first block
+            parts = [total[i * cut : (i + 1) * cut] for i in range(BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([p.astype(np.float32 if i else np.float64).tobytes() for i, p in enumerate(parts)], pa.binary()), pa.array(np.full(BLOCKS, part % 64, np.int32))], ["block", "part", "salt"])
 
         def summed(t: pa.Table) -> pa.Table:
-            parts = t.column("part").to_pylist()
-            acc = np.zeros(len(parts[0]) // 8)
-            for p in parts:
-                acc += np.frombuffer(p)
-            return pa.table({"block": t.column("block")[:1], "part": pa.array([acc.tobytes()], pa.binary()), "salt": pa.array([0], pa.int32())})
+            block, salt = t.column("block")[0].as_py(), t.column("salt")[0].as_py()
+            kind = np.float32 if block and salt >= 0 else np.float64
+            acc = 0.0
+            for p in t.column("part"):
+                acc = acc + np.frombuffer(p.as_buffer(), kind).astype(np.float64)
+            return pa.table({"block": t.column("block")[:1], "part": pa.array([acc.tobytes()], pa.binary()), "salt": pa.array([-1], pa.int32())})
 
         kind = "block int, part binary, salt int"
         got = rows.mapInArrow(counts, kind).groupBy("block", "salt").applyInArrow(summed, kind).groupBy("block").applyInArrow(summed, kind).collect()  # one table of `cells` numbers
         if not got:
             break
         total = np.concatenate([np.frombuffer(r["part"]) for r in sorted(got, key=lambda r: r["block"])])
-        s, m, e, ll = np.split(total, np.cumsum([states, states * states, len(prior) * states]))
+        s, m, ll, e = np.split(total, np.cumsum([states, states * states, 1]))
         history.append(float(ll[0]))
         settled = len(history) > 1 and history[-1] - history[-2] < GAIN * abs(history[-2])
         s, m, e = s + 1e-3, m.reshape(states, states) + 1e-3, e.reshape(-1, states)
