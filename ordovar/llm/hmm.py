@@ -33,7 +33,7 @@ TOP = 32_000
 #: Words that occur less often share the rare classes at any size, so that these show what is left for words that training lacks.
 OFTEN = 3
 RARE = 509
-ROUNDS = 6
+ROUNDS = 5
 GAIN = 0.005
 SEGMENT = 1024
 LANE_TOKENS = 300_000

@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences by length patterns and non-negative least squares.
 
-Only the histogram of piece lengths (at most `capacity` counts) reaches the driver. There, patterns of one to three lengths that
-fill a sequence are enumerated, repeat counts are fitted to the histogram by non-negative least squares, rounded down, and what is
-left over is packed best-fit, largest first, again as repeated patterns. A pattern's slot owns a run of the ranks that pieces of
-its length have, so the plan's size depends on `capacity` alone, and each piece finds its place by its rank.
+Only the histogram of piece lengths (at most `capacity` counts) reaches the driver. There, all patterns of two or three present
+lengths that fill a sequence exactly are enumerated (where at most a quarter of the lengths is present, those that fall a little short
+too), repeat counts are fitted to the histogram by non-negative least squares and rounded to the nearest, and what is left over, or
+no pattern holds, is packed best-fit, largest first, again as repeated patterns. A pattern's slot owns a run of the ranks that pieces
+of its length have, so the plan's size depends on `capacity` alone, and each piece finds its place by its rank. Which of equally
+long pieces gets which slot follows from their order in the table.
 
 Null and empty texts are one piece: the separator. Repeated rows are packed each. Ranks come from counts by partition and length;
 no group of equal lengths meets in one task. The pieces are written to the shared folder first, since ranks must not change.
@@ -25,7 +27,6 @@ from ordovar.llm.common import lean, small_batches, text_slices, written
 
 CAPACITY = 2048
 SEPARATOR = 0
-MAX_PATTERNS = 60_000
 
 
 def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +68,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     return rows.mapInArrow(lean(kernel), f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long").withColumnRenamed("id", id_col)
 
 
-def patterns(hist: np.ndarray, capacity: int, limit: int = MAX_PATTERNS) -> list[np.ndarray]:
+def patterns(hist: np.ndarray, capacity: int) -> list[np.ndarray]:
     """Arrays of patterns of two and of three present lengths whose sum is capacity, or just below it where few lengths are present."""
     have = np.flatnonzero(hist[:capacity] > 0)
     have = have[have > 0]
@@ -89,9 +90,6 @@ def patterns(hist: np.ndarray, capacity: int, limit: int = MAX_PATTERNS) -> list
         out.append(np.stack([a[ok], b[ok], c[ok]], 1))
     pairs = np.concatenate([x for x in out if x.shape[1] == 2])
     triples = np.concatenate([x for x in out if x.shape[1] == 3])
-    keep = max(0, limit - len(pairs))
-    if len(triples) > keep:  # those whose scarcest length is the most frequent
-        triples = triples[np.argsort(-hist[triples].min(1), kind="stable")[:keep]]
     return [x for x in (pairs, triples) if len(x)]
 
 
@@ -145,7 +143,10 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     if left[capacity]:
         commit([capacity], int(left[capacity]))
     groups = patterns(left, capacity)
-    fitted = [(float(v), p) for g, x in zip(groups, nnls(groups, left[: capacity + 1].astype(float)), strict=True) for v, p in zip(x, g.tolist(), strict=True) if v >= 0.5] if groups else []
+    fitted = []
+    for g, x in zip(groups, nnls(groups, left[: capacity + 1].astype(float)) if groups else [], strict=True):
+        some = x >= 0.5
+        fitted += zip(x[some].tolist(), g[some].tolist(), strict=True)
     for v, p in sorted(fitted, key=lambda f: (-f[0], f[1])):
         repeat = min(int(v + 0.5), *(int(left[n]) // p.count(n) for n in p))
         if repeat > 0:

@@ -304,6 +304,31 @@ def test_packing(spark, awkward, empty):
     assert packing.pack(empty, vocabulary_path()).isEmpty()
 
 
+def test_packing_pieces_are_the_tokenizers(spark, awkward):
+    """Every column against the library's ids: pieces, starts, lengths, checksums, places; and that rows are packed each."""
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(vocabulary_path())
+    for cap, rows in ((64, AWKWARD), (2048, AWKWARD + [tuple(r) for r in table(spark, D, "documents").select("doc_id", "text").collect()])):
+        df = spark.createDataFrame([(i, t, 7, 7) for i, t in rows], "doc_id long, text string, piece int, length long")
+        got = packing.pack(df, vocabulary_path(), cap).collect()
+        want = Counter()
+        for i, t in rows:
+            ids = np.array([*real.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+            cuts = [0, *range((len(ids) - 1) % cap + 1, len(ids) + 1, cap)]
+            want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts)))
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        places = {}
+        for r in got:
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for own in places.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= cap
+
+
 def test_packing_plan_uses_every_piece_once():
     rng = np.random.default_rng(0)
     hist = np.zeros(257, np.int64)
