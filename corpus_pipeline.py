@@ -2,6 +2,10 @@
 
 Rejected: by language ID, documents without a letter or whose n-grams lie in no profile; by toxicity, documents predicted toxic; by
 near-dedup, all but the smallest id of each group (null ids are in none); by decontamination, documents in which a benchmark window occurs.
+
+Documents with a null id pass or fail each stage by their text like others, and never train. Null and empty texts hold no letter and go in
+the first stage. Empty tables give no pieces. Rows that repeat an id with its text are one document; rows that share only the id are judged
+each. Further columns of documents pass through all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations
@@ -13,8 +17,9 @@ from ordovar.llm import decontam, langid, neardup, packing, toxicity
 from ordovar.llm.common import crc_mod, table, written
 from ordovar.llm.queries import vocabulary_path
 
-#: A text that shares hardly any frequent n-gram with the nearest profile.
-MIN_LANGUAGE_SCORE = 0.02
+#: A text whose frequent n-grams lie in no profile. Measured: the least score of 113,000 documents of check_s, check_h, sf0.1 and sf0.01 is
+#: 0.398 (0.1 % lie under 0.49); random letters score 0.16, base64 0.24, one letter repeated 0.25, random words 0.23.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
