@@ -43,6 +43,15 @@ def rows(n: int, algo: str, mapping: int = 0, k: int = 2) -> list[tuple[int, int
                 for p in range(n):
                     out.append((s, p, "exchange", p ^ 1 << (i - 1 - j)))
                 s += 1
+    elif algo in ("lbmergesort", "lbkmergesort"):
+        # the lower half of a group meets the upper one part by part, turned by one more place each time, so that all pairs meet and none waits
+        s = 0
+        for g in (1 << i for i in range(levels)):
+            for turn in range(g):
+                for p in range(n):
+                    low, paired = not p & g, (p - p % g) ^ g
+                    out.append((s, p, "exchange", paired + (p + turn if low else p - turn) % g))
+                s += 1
     else:
         raise ValueError(f"{algo!r} has no stencil")
     return sorted(out)
@@ -57,6 +66,11 @@ def token_owner(i: int, n: int, mapping: int = 0) -> int:
     return i if mapping == 0 else int(f"{i:0{max(1, ceil_log2(n))}b}"[::-1], 2)
 
 
+def token_owners(spark: SparkSession, n: int) -> DataFrame:
+    """(mapping, i, owner): who holds the i-th range after the pivot tree."""
+    return spark.createDataFrame([(m, i, token_owner(i, n, m)) for m in (0, 1) for i in range(n)], "mapping int, i int, owner int")
+
+
 def efficiency(spark: SparkSession, sizes: list[int], fan_ins: list[int]) -> DataFrame:
     """(algo, n, k, phi): mean share of busy parts. Of a k-ary tree with m = floor(log_k n + 1) levels, level i keeps n / k^i busy."""
     grid = spark.createDataFrame([(n, k) for n in sizes for k in fan_ins], "n int, k int")
@@ -64,4 +78,6 @@ def efficiency(spark: SparkSession, sizes: list[int], fan_ins: list[int]) -> Dat
     busy = F.aggregate(F.sequence(F.lit(0), F.col("m") - 1), F.lit(0.0), lambda a, i: a + F.col("n") / F.pow(F.col("k"), i))
     tree = grid.withColumn("m", m).select(F.when(F.col("k") == 2, "mergesort").otherwise("kmerge").alias("algo"), "n", "k", (busy / (F.col("n") * F.col("m"))).alias("phi"))
     full = spark.createDataFrame([(a, n, 0, 1.0) for a in ("bitonicsort", "bucketsort", "lbkmergesort", "lbmergesort", "samplesort") for n in sizes], "algo string, n int, k int, phi double")
-    return tree.unionByName(full)
+    # the pivot tree keeps 2^i parts busy on level i, as the merge tree does from its other end
+    pivots = tree.where("k = 2").withColumn("algo", F.lit("quicksort"))
+    return tree.unionByName(pivots).unionByName(full)

@@ -31,3 +31,30 @@ def gatherv(df: DataFrame) -> DataFrame:
         at += c
     offsets = df.sparkSession.createDataFrame(rows, "part int, displ long")
     return df.join(F.broadcast(offsets), "part").select((F.col("displ") + F.col("local_pos")).alias("pos"), "value")
+
+
+def sendrecv_slices(df: DataFrame, slices: DataFrame) -> DataFrame:
+    """Every part sends a slice of its rows to a partner and keeps its first rows: of (part, local_pos, value), part p's rows from sdispl
+    on, scount of them, come to stand at the partner from rdispl on; what p has from `keep` on is overwritten or trimmed.
+    slices: (part, partner, sdispl, scount, rdispl, keep), one row a part."""
+    rows = df.join(F.broadcast(slices), "part")
+    kept = rows.where(F.col("local_pos") < F.col("keep")).select("part", "local_pos", "value")
+    sent = rows.where((F.col("local_pos") >= F.col("sdispl")) & (F.col("local_pos") < F.col("sdispl") + F.col("scount")))
+    return kept.unionByName(sent.select(F.col("partner").alias("part"), (F.col("rdispl") + F.col("local_pos") - F.col("sdispl")).alias("local_pos"), "value"))
+
+
+def gather(df: DataFrame, count: int) -> DataFrame:
+    """(pos, value): equal shares of count rows, one part after the other."""
+    return df.select((F.col("part") * F.lit(count).cast("long") + F.col("local_pos")).alias("pos"), "value")
+
+
+def bcast(df: DataFrame, n: int) -> DataFrame:
+    """Every row on every one of n parts."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def appended(df: DataFrame, received: DataFrame) -> DataFrame:
+    """What each part receives, behind what it has: (part, local_pos, value)."""
+    sizes = df.groupBy("part").agg(F.count("*").alias("c"))  # a row a part
+    moved = received.join(F.broadcast(sizes), "part", "left").select("part", (F.col("local_pos") + F.coalesce("c", F.lit(0))).alias("local_pos"), "value")
+    return df.select("part", "local_pos", "value").unionByName(moved)

@@ -6,12 +6,17 @@ Buckets follow the rule (s[i-1], s[i]]: a key that equals a splitter goes left.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOCAL = (1 << 33) - 1
 
 
+#: Splitters up to which the comparisons are code; more are a sorted array that is searched by halving.
+INLINE_SPLITTERS = 127
+
+
 def bucket_of(key: Column, splitters: list) -> Column:
     """Number of splitters below the key; by halving, so log2(n) comparisons a row."""
 
@@ -21,7 +26,16 @@ def bucket_of(key: Column, splitters: list) -> Column:
         mid = (lo + hi) // 2
         return F.when(key > F.lit(splitters[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(splitters))).cast("int")
+    if len(splitters) <= INLINE_SPLITTERS:
+        found = tree(0, len(splitters))
+    else:
+        held = F.lit(splitters)
+        halves, step = [], 1 << (len(splitters).bit_length() - 1)
+        while step:
+            halves.append(step)
+            step >>= 1
+        found = F.aggregate(F.lit(halves), F.lit(0), lambda at, h: F.when((at + h <= len(splitters)) & (F.get(held, at + h - 1) < key), at + h).otherwise(at).cast("int"))
+    return F.when(key.isNull(), F.lit(0)).otherwise(found).cast("int")
 
 
 def width_bucket_of(key: Column, span: int, n: int) -> Column:
@@ -43,16 +57,22 @@ def quantiles(df: DataFrame, key: str, n: int) -> list:
     return sorted(set(got or []))
 
 
-def sorted_by_bucket(df: DataFrame, n: int, bucket: str, keys: list[str]) -> DataFrame:
-    """df with `pos`: exchange by bucket, local sort, offset of the bucket plus the place in the partition."""
-    counts = {r[bucket]: r["count"] for r in df.groupBy(bucket).count().collect()}  # n rows
+def sorted_by_bucket(df: DataFrame, n: int, bucket: str, keys: list[str], once: bool = False) -> DataFrame:
+    """df with `pos`: exchange by bucket, local sort, offset of the bucket plus the place in the partition.
+
+    The rows of each bucket are counted first. Where df is a scan with a bucket expression, that reads one column and shuffles nothing;
+    where df is costly to make (`once`), the sorted partitions are cached, in memory or on disk, and counted there.
+    """
+    local = exchanged(df, n, bucket).sortWithinPartitions(*keys)
+    if once:
+        local = local.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {r[bucket]: r["count"] for r in (local if once else df).groupBy(bucket).count().collect()}  # n rows
     offsets, at = [], 0
     for i in range(n):
         offsets.append(at)
         at += counts.get(i, 0)
-    local = exchanged(df, n, bucket).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))
-    return local.withColumn("pos", F.element_at(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col(bucket) + 1) + place)
+    return local.withColumn("pos", F.get(F.lit(offsets).cast("array<long>"), F.col(bucket)) + place)
 
 
 def positioned(df: DataFrame, key: str, n: int = 8, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -90,13 +110,20 @@ def local_splitters(ranked: DataFrame, n: int) -> DataFrame:
     return sized.where((F.col("i") > 0) & (F.col("i") % F.col("j") == 0) & (F.col("i") / F.col("j") <= n - 1)).select("part", F.floor(F.col("i") / F.col("j")).alias("k"), F.col("value").alias("splitter"))
 
 
-def global_splitters(sample: DataFrame, n: int) -> list:
-    """n - 1 splitters: the regular sample of the sorted n (n - 1) local ones, which are few enough for the driver."""
-    got = sorted(r["splitter"] for r in sample.select("splitter").collect())
-    if not got:
-        return []
-    step = max(1, len(got) // n)
-    return [got[i] for i in range(step, len(got), step)][: n - 1]
+#: Local splitters that the driver may sort by itself.
+DRIVER_SAMPLE = 1 << 18
+
+
+def global_splitters(sample: DataFrame, n: int, on_driver: int = DRIVER_SAMPLE) -> list:
+    """n - 1 splitters: the regular sample of the sorted n (n - 1) local ones. The driver sorts up to `on_driver` of them; more are
+    sorted like any table, and only the n - 1 that are picked reach it."""
+    if n * (n - 1) <= on_driver:
+        got = sorted(r["splitter"] for r in sample.select("splitter").collect())
+        step = max(1, len(got) // n)
+        return [got[i] for i in range(step, len(got), step)][: n - 1]
+    step = max(1, sample.count() // n)
+    picked = positioned(sample.select("splitter"), "splitter", 64).where((F.col("pos") > 0) & (F.col("pos") % step == 0) & (F.col("pos") < step * n))
+    return [r["splitter"] for r in sorted(picked.collect(), key=lambda r: r["pos"])][: n - 1]
 
 
 def histogram(df: DataFrame, src: str = "part", dst: str = "bucket") -> DataFrame:
@@ -107,3 +134,10 @@ def displacements(hist: DataFrame, by: str, over: str, name: str) -> DataFrame:
     """Exclusive prefix sums of cnt: for each `by`, in order of `over`."""
     w = Window.partitionBy(by).orderBy(over).rowsBetween(Window.unboundedPreceding, -1)
     return hist.withColumn(name, F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+
+
+def described(df: DataFrame) -> str:
+    """Where a relation lies and how it is dealt: cached or planned, partitions, columns."""
+    level = df.storageLevel
+    medium = " and ".join(name for name, used in (("memory", level.useMemory), ("disk", level.useDisk)) if used) or "plan"
+    return f"{medium}, {df.rdd.getNumPartitions()} partitions, ({', '.join(f'{c} {t}' for c, t in df.dtypes)})"

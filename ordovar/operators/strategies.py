@@ -1,7 +1,7 @@
 """The ten strategies. Each takes (part, pos, value) rows and gives the same sorted relation (pos, value); their rounds differ.
 
-Rounds are lazy plans of exchanges by part and sorts inside partitions; a receiver's merge is its partition's sort. Only splitters,
-pivots and counts per part reach the driver.
+Rounds are lazy plans of exchanges by part and sorts inside partitions; a receiver's merge is its partition's sort. Only splitters, a
+bounded sample for pivots, and counts per part reach the driver.
 """
 
 from __future__ import annotations
@@ -70,12 +70,11 @@ def kmerge(df: DataFrame, spec: SortSpec) -> DataFrame:
 
 
 def lb_dest(part: Column, value: Column, splitters: list, n: int, i: int) -> Column:
-    """Part after round i (from 1) of the load-balanced merge: range bucket inside the group of 2^i parts."""
+    """Part after round i (from 1) of the load-balanced merge: range bucket inside the group of 2^i parts. Of the group's splitters,
+    those from the group's first part on, as many lie below the value as its bucket is beyond that part."""
     g = 1 << i
     base = part - part % g
-    # splitters base .. base + g - 2 that lie below the value
-    below = sum((F.when((F.lit(k) >= base) & (F.lit(k) <= base + g - 2) & (value > F.lit(s)), 1).otherwise(0) for k, s in enumerate(splitters)), F.lit(0))
-    return (base + below).cast("int")
+    return (base + F.greatest(F.lit(0), F.least(F.lit(g - 1), bucket_of(value, splitters) - base))).cast("int")
 
 
 def lbmergesort(df: DataFrame, spec: SortSpec) -> DataFrame:
@@ -84,12 +83,19 @@ def lbmergesort(df: DataFrame, spec: SortSpec) -> DataFrame:
     rounds = ceil_log2(n)
     for i in range(1, rounds):
         df = merge_round(df, n, lb_dest(F.col("part"), F.col("value"), splitters, n, i))
-    return sorted_by_bucket(df.withColumn("part", lb_dest(F.col("part"), F.col("value"), splitters, n, rounds)), max(n, 1 << rounds), "part", KEYS).select("pos", "value")
+    return sorted_by_bucket(df.withColumn("part", lb_dest(F.col("part"), F.col("value"), splitters, n, rounds)), max(n, 1 << rounds), "part", KEYS, once=True).select("pos", "value")
 
 
 def samplesort(df: DataFrame, spec: SortSpec) -> DataFrame:
     splitters = splitters_of(df, spec.n)
-    return sorted_by_bucket(df.withColumn("part", bucket_of(F.col("value"), splitters)), spec.n, "part", KEYS).withColumn("pos", F.col("pos")).select("pos", "value")
+    return sorted_by_bucket(df.withColumn("part", bucket_of(F.col("value"), splitters)), spec.n, "part", KEYS).select("pos", "value")
+
+
+def lbkmergesort(df: DataFrame, spec: SortSpec) -> DataFrame:
+    """One hop to the bucket, with the received runs kept apart by their sender, and one n-way merge of them."""
+    splitters = splitters_of(df, spec.n)
+    runs = df.withColumnRenamed("part", "run").withColumn("part", bucket_of(F.col("value"), splitters))
+    return sorted_by_bucket(runs, spec.n, "part", ["value", "run", "pos"]).select("pos", "value")
 
 
 def bucketsort(df: DataFrame, spec: SortSpec, span: int | None = None) -> DataFrame:
@@ -122,26 +128,48 @@ def bitonicsort(df: DataFrame, spec: SortSpec) -> DataFrame:
     slots = largest_part(df)
     for mask, bit in bitonic_rounds(n):
         df = bitonic_round(df, n, mask, bit, slots)
-    return sorted_by_bucket(df, n, "part", KEYS).select("pos", "value")
+    return sorted_by_bucket(df, n, "part", KEYS, once=True).select("pos", "value")
 
 
-def quicksort_level(df: DataFrame) -> DataFrame:
-    """node -> 2 node + (value > pivot); the pivot is the value at the node's first position."""
-    pivots = df.groupBy("node").agg(F.min_by("value", "pos").alias("pivot"))
-    return df.join(F.broadcast(pivots), "node").withColumn("node", (2 * F.col("node") + (F.col("value") > F.col("pivot")).cast("int")).cast("int")).drop("pivot")
+#: Rows that choose the pivots, and the fixed values of the hash of positions that picks them.
+PIVOT_SAMPLE = 4096
+PIVOT_FACTOR, PIVOT_RANGE = 2654435761, 1 << 32
+
+
+def pivots_of(df: DataFrame, levels: int, seed: int = 1) -> list[list]:
+    """For each level its nodes' pivots (null: none): medians of what a random sample of about PIVOT_SAMPLE rows has in the node. The
+    sample are the rows whose position hashes below a limit, so that a seed gives one result and no order of the input a bad one."""
+    m = df.count()
+    chance = (F.pmod("pos", F.lit(1 << 31)) * F.lit(PIVOT_FACTOR) + F.lit(seed)) % F.lit(PIVOT_RANGE)
+    limit = min(PIVOT_RANGE, PIVOT_SAMPLE * PIVOT_RANGE // max(1, m) + 1)
+    nodes = [sorted(r["value"] for r in df.where((chance < limit) & F.col("value").isNotNull()).select("value").collect())]
+    out = []
+    for _ in range(levels):
+        cuts = [v[(len(v) - 1) // 2] if v else None for v in nodes]
+        out.append(cuts)
+        nodes = [part for v, cut in zip(nodes, cuts, strict=True) for part in ([x for x in v if x <= cut], [x for x in v if x > cut])]
+    return out
+
+
+def quicksort_level(df: DataFrame, pivots: list) -> DataFrame:
+    """node -> 2 node + (value > the node's pivot)."""
+    kind = df.schema["value"].dataType.simpleString()
+    above = F.coalesce(F.col("value") > F.get(F.lit(pivots).cast(f"array<{kind}>"), F.col("node")), F.lit(False))
+    return df.withColumn("node", (2 * F.col("node") + above.cast("int")).cast("int"))
 
 
 def quicksort(df: DataFrame, spec: SortSpec) -> DataFrame:
     levels = ceil_log2(spec.n)
+    cuts = pivots_of(df, levels, spec.seed)
     df = df.withColumn("node", F.lit(0))
-    for _ in range(levels):
-        df = quicksort_level(df)
+    for level in cuts:
+        df = quicksort_level(df, level)
     return sorted_by_bucket(df.drop("part"), 1 << levels, "node", KEYS).select("pos", "value")
 
 
 ALGORITHMS: dict[str, Callable[[DataFrame, SortSpec], DataFrame]] = {
     "sequential": sequential, "sequential1": sequential1, "mergesort": mergesort, "kmerge": kmerge, "lbmergesort": lbmergesort,
-    "lbkmergesort": samplesort, "samplesort": samplesort, "bucketsort": bucketsort, "bitonicsort": bitonicsort, "quicksort": quicksort,
+    "lbkmergesort": lbkmergesort, "samplesort": samplesort, "bucketsort": bucketsort, "bitonicsort": bitonicsort, "quicksort": quicksort,
 }
 
 

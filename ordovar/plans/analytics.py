@@ -6,6 +6,7 @@ import time
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def baseline_everywhere(runs: DataFrame) -> DataFrame:
 
 def averages(runs: DataFrame) -> DataFrame:
     """(algo, m, n, us): whole-number mean over seeds and trials of the root's total."""
-    return runs.where("phase = 'spd' and node = 0").groupBy("algo", "m", "n").agg(F.expr("sum(us) div count(*)").alias("us"))
+    return phase_of(runs, "spd", 0).groupBy("algo", "m", "n").agg(F.expr("sum(us) div count(*)").alias("us"))
 
 
 def pivoted(avg: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
@@ -104,5 +105,40 @@ class Profiler:
             self.micros[name] += (time.perf_counter() - began) * 1e6
             self.open.discard(name)
 
-    def report(self, spark: SparkSession) -> DataFrame:
-        return rounded_times(spark.createDataFrame([(k, 0, int(v)) for k, v in self.micros.items()], "phase string, node int, us long"))
+    def report(self, spark: SparkSession, node: int = 0) -> DataFrame:
+        return rounded_times(spark.createDataFrame([(k, node, int(v)) for k, v in self.micros.items()], "phase string, node int, us long"))
+
+
+def gathered(reports: list[DataFrame]) -> DataFrame:
+    """The phases of all nodes in one table."""
+    return reduce(DataFrame.unionByName, reports)
+
+
+def phase_of(runs: DataFrame, phase: str, node: int | None = None) -> DataFrame:
+    """The rows of one phase, of one node or of all."""
+    return runs.where((F.col("phase") == phase) & (F.lit(True) if node is None else F.col("node") == node))
+
+
+def chunk_grid(spark: SparkSession, rows: int, n: int, exponents: list[int]) -> DataFrame:
+    """(calls, block, share): a table of so many rows, moved in so many calls of a block each, a share of it to each of n parts."""
+    return spark.createDataFrame([(1 << e, rows >> e, (rows >> e) // n) for e in exponents], "calls long, block long, share long")
+
+
+def chunk_sweep(spark: SparkSession, rows: int, n: int, calls: list[int]) -> DataFrame:
+    """(operation, calls, us): wall time of moving a table of so many rows in so many calls: to one part, dealt to n, gathered from n, and
+    all to all."""
+    source = spark.range(rows).withColumn("part", (F.col("id") % n).cast("int")).persist()
+    source.count()
+    moves = {
+        "send": lambda d: d.repartition(1), "scatter": lambda d: d.repartitionById(n, F.col("part")), "gather": lambda d: d.coalesce(1),
+        "alltoall": lambda d: d.repartitionById(n, F.pmod(F.floor(F.col("id") / n), F.lit(n)).cast("int")),
+    }
+    out = []
+    for count in calls:
+        for name, move in moves.items():
+            began = time.perf_counter()
+            for i in range(count):
+                move(source.where(F.col("id").between(rows * i // count, rows * (i + 1) // count - 1))).write.format("noop").mode("overwrite").save()
+            out.append((name, count, int((time.perf_counter() - began) * 1e6)))
+    source.unpersist()
+    return spark.createDataFrame(out, "operation string, calls long, us long")

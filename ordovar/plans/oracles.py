@@ -18,7 +18,7 @@ RANKED = "select part, row_number() over (partition by part order by value, pos)
 ORACLE: dict[str, str] = {f"sort_{a}": f"with {P} select row_number() over (order by value) - 1 as pos, value from P" for a in ALGORITHMS}
 ORACLE |= {
     "scatter_counts": f"with {P} select part, count(*) as cnt, min(pos) as displ from P group by part",
-    "scatterv_slices": f"with {P}, V(part, cnt, displ) as (values (0::bigint, 100, 0), (1, 0, 100), (2, 250, 100), (3, 50, 350)) select V.part, pos - displ as local_pos, value from P join V on pos >= displ and pos < displ + cnt",
+    "scatterv_slices": f"with {P}, C as (select count(*) as m from P), V(part, cnt, displ) as (select 0::bigint, m // 4, 0 from C union all select 1, 0, m // 4 from C union all select 2, m // 2, m // 4 from C union all select 3, m - m // 4 - m // 2, m // 4 + m // 2 from C) select V.part, pos - displ as local_pos, value from P join V on pos >= displ and pos < displ + cnt",
     "gatherv_positions": f"with {P} select row_number() over (order by value % 8, pos) - 1 as pos, value from P",
     "local_sort": f"with {P}, {L} select part, i, value from L",
     "local_splitters": f"with {P}, {L}, {S} select part, k, splitter from S",
@@ -27,13 +27,18 @@ ORACLE |= {
     "count_transpose": f"with {P}, {L}, {S}, {G}, {B}, {H} select bucket as part, " + ", ".join(f"coalesce(sum(cnt) filter (part = {i}), 0)::bigint as from_{i}" for i in range(N)) + " from H group by bucket",
     "send_displacements": f"with {P}, {L}, {S}, {G}, {B}, {H} select part, bucket, cnt, coalesce(sum(cnt) over (partition by part order by bucket rows between unbounded preceding and 1 preceding), 0)::bigint as sdispl, coalesce(sum(cnt) over (partition by bucket order by part rows between unbounded preceding and 1 preceding), 0)::bigint as rdispl from H",
     "fixed_range_histogram": "select least((o_orderkey * 143151 % 2147483648) // 268435456, 7) as bucket, count(*) as cnt from orders group by 1",
-    "alltoall_transpose": f"with {P}, T as (select *, row_number() over (partition by part order by pos) - 1 as l from P) select l // 64 as part, part * 64 + l % 64 as local_pos, value from T where l < 512",
+    "alltoall_transpose": f"with {P}, T as (select *, row_number() over (partition by part order by pos) - 1 as l, (((select count(*) from P) + 7) // 8 + 7) // 8 as b from P) select l // b as part, part * b + l % b as local_pos, value from T",
     "alltoallv_exchange": f"with {P}, {L}, {S}, {G}, {B} select bucket as part, row_number() over (partition by bucket order by part, value, pos) - 1 as local_pos, value from B",
     "sendrecv_pairs": f"with {P} select xor(part, 1) as part, count(*) as cnt, sum(value)::bigint as total from P group by 1",
     "kway_merge": "select c_mktsegment as \"group\", row_number() over (partition by c_mktsegment order by c_acctbal, c_nationkey) - 1 as i, c_acctbal as value from customer",
     "double_keys_sorted": "select row_number() over (order by c_acctbal, c_custkey) - 1 as pos, c_acctbal, c_custkey from customer",
     "timestamp_keys_sorted": "select row_number() over (order by o_orderdate, o_orderkey) - 1 as pos, epoch(o_orderdate)::bigint as day, o_orderkey from orders",
-    "is_sorted_check": "select true as is_sorted",
+    "is_sorted_check": f"with {P}, T as (select 'dealt' as what, pos, value from P union all select 'sorted', row_number() over (order by value) - 1, value from P), U as (select what, value, lag(value) over (partition by what order by pos) as before from T) select what, count(*) filter (before > value) as inversions, count(*) filter (before > value) = 0 as is_sorted from U group by what",
+    "sendrecv_slices": f"with {P}, T as (select part, row_number() over (partition by part order by pos) - 1 as l, count(*) over (partition by part) as c, value from P), Z as (select distinct part, c from T) select part, l as local_pos, value from T where l < c // 2 union all select xor(T.part, 1), Z.c // 2 + l - T.c // 4, value from T join Z on Z.part = xor(T.part, 1) where l >= T.c // 4 and l < T.c // 4 + T.c // 2",
+    "gather_equal": f"with {P}, T as (select part, row_number() over (partition by part order by value, pos) - 1 as l, value from P) select part * (((select count(*) from P) + 7) // 8) + l as pos, value from T",
+    "bcast_rows": "select r_regionkey::bigint as value, part from region, range(8) t(part)",
+    "receive_appended": f"with {P}, T as (select part, row_number() over (partition by part order by pos) - 1 as l, value from P), Z as (select part, count(*) as c from T group by part) select part, l as local_pos, value from T union all select Z.part, Z.c + l, value from T join Z on Z.part = xor(T.part, 1)",
+    "phase_gather": "select phase, node, us, floor(us / 1e3 + 0.5)::bigint as ms, floor(us / 1e6 + 0.5)::bigint as s from (select 'sorting' as phase, i as node, 1000 * i + 499 as us from range(3) t(i) union all select 'spd', i, 1500000 * i from range(3) t(i))",
     "first_inversion": f"with {P}, T as (select pos, lag(value) over (order by pos) as before, value from P) select pos, before, value from T where before > value order by pos limit 1",
     "multiset_checksum": "select count(*) as n, sum(user_id)::bigint as total, bit_xor(user_id) as mixed from events",
     "items_text": f"with {P}, T as (select *, row_number() over (partition by part order by pos) as r from P) select part, '{{' || string_agg(value::varchar, ',' order by r) filter (r <= 10) || case when max(r) > 10 then ',...}}' else '}}' end as items from T group by part",
@@ -47,11 +52,11 @@ for _t in range(1, 4):
     ORACLE[f"mergesort_round_{_t}_map_0"] = f"with {P}, R as (select part % {N >> _t} as part, pos, value from P) {RANKED} R"
     ORACLE[f"mergesort_round_{_t}_map_1"] = f"with {P}, R as (select part - part % {1 << _t} as part, pos, value from P) {RANKED} R"
     ORACLE[f"lbmerge_round_{_t}"] = f"with {P}, {L}, {S}, {G}, R as (select part - part % {1 << _t} + (select count(*) from G where idx between part - part % {1 << _t} and part - part % {1 << _t} + {(1 << _t) - 2} and splitter < value) as part, pos, value from P) {RANKED} R"
-    _chain, _prev = [], "select 0 as node, pos, value from P"
+    _chain = ["Q0 as (select 0 as node, pos, value from P)", "S0 as (select 0 as node, value from P where value is not null and ((pos % 2147483648) * 2654435761 + 1) % 4294967296 < least(4294967296, 17592186044416 // (select count(*) from P) + 1))"]
     for _l in range(_t):
-        _chain.append(f"Q{_l} as ({_prev}), V{_l} as (select node, arg_min(value, pos) as cut from Q{_l} group by node)")
-        _prev = f"select 2 * Q{_l}.node + (value > cut)::int as node, pos, value from Q{_l} join V{_l} using (node)"
-    ORACLE[f"quicksort_level_{_t}"] = f"with {P}, " + ", ".join(_chain) + f" select node::bigint as node, pos, value from ({_prev})"
+        _chain.append(f"V{_l} as (select node, value as cut from (select node, value, row_number() over (partition by node order by value) as r, count(*) over (partition by node) as c from S{_l}) where r = (c + 1) // 2)")
+        _chain += [f"{_x}{_l + 1} as (select 2 * {_x}{_l}.node + coalesce(value > cut, false)::int as node, {_c}value from {_x}{_l} left join V{_l} using (node))" for _x, _c in (("Q", "pos, "), ("S", ""))]
+    ORACLE[f"quicksort_level_{_t}"] = f"with {P}, " + ", ".join(_chain) + f" select node::bigint as node, pos, value from Q{_t}"
 for _t, _active in ((1, 2), (2, 1)):
     ORACLE[f"kmerge_round_{_t}"] = f"with {P}, R as (select part % {_active} as part, pos, value from P) {RANKED} R"
 _steps = [P, "R0 as (select * from P)"]
@@ -73,6 +78,11 @@ ORACLE |= {
     "phase_avg_by_n": f"with {_RUNS} select * from avgs",
     "phase_pivot_nxta": f"with {_RUNS} select n, max(us) filter (algo = 'samplesort') as samplesort, max(us) filter (algo = 'sequential') as sequential from avgs group by n",
     "phase_pivot_mxtn": f"with {_RUNS} select m, max(us) filter (n = 2) as n_2, max(us) filter (n = 4) as n_4 from avgs where algo = 'samplesort' group by m",
+    "phase_pivot_nxtm": f"with {_RUNS} select n, max(us) filter (m = 1024) as m_1024, max(us) filter (m = 2048) as m_2048 from avgs where algo = 'samplesort' group by n",
+    "phase_pivot_mxta": f"with {_RUNS} select m, max(us) filter (algo = 'samplesort') as samplesort, max(us) filter (algo = 'sequential') as sequential from avgs where n = 4 group by m",
+    "phase_select": f"with {_RUNS} select * from runs where phase = 'sorting'",
+    "chunk_grid": "select (1::bigint << e)::bigint as calls, (8388608 >> e)::bigint as block, ((8388608 >> e) // 8)::bigint as share from range(14) t(e)",
+    "token_owners": "select m as mapping, i, case when m = 0 then i else (i & 1) * 8 + ((i >> 1) & 1) * 4 + ((i >> 2) & 1) * 2 + ((i >> 3) & 1) end as owner from range(2) t(m), range(16) u(i)",
     "phase_skew": f"with {_RUNS}, a as (select algo, n, phase, node, avg(us) as us from runs group by all) select *, max(us) over w / avg(us) over w as skew from a window w as (partition by algo, n, phase)",
     "campaign_grid": "select t::int as trial, (1::bigint << e)::bigint as m, n::int as n, s::int as seed, a as algo from range(1, 4) x(t), range(20, 31) y(e), (values (1), (2), (4), (8), (16)) z(n), range(1, 4) u(s), (values ('sequential'), "
     + ", ".join(f"('{a}')" for a in ALGORITHMS if not a.startswith("sequential"))
@@ -80,7 +90,7 @@ ORACLE |= {
     "bytes_human": "select size, case when size >= 1073741824 then (size // 1073741824) || ' GB' when size >= 1048576 then (size // 1048576) || ' MB' when size >= 1024 then (size // 1024) || ' KB' else size || ' B' end as human from (select (1::bigint << i)::bigint as size from range(40) r(i))",
     "math_helpers": "select n, ceil(log2(n))::bigint as log2, ceil(log2(n))::bigint // 2 as log4, (n & (n - 1)) = 0 as power from range(1, 130) r(n)",
     "tsend_fit": "select round(regr_intercept(t, l), 6) as setup_us, round(regr_slope(t, l), 9) as us_per_byte from (values " + ", ".join(f"({n}, {t!r}::double)" for n, t in TRANSFERS) + ") v(l, t)",
-    "algorithm_efficiency": "with g as (select n, k, floor(round(ln(n) / ln(k), 9) + 1)::int as m from (values (2), (4), (8), (16), (32), (64), (128)) a(n), (values (2), (4), (8)) b(k)) select case when k = 2 then 'mergesort' else 'kmerge' end as algo, n, k, (select sum(n / pow(k, i)) from range(m) r(i)) / (n * m) as phi from g union all select a, n, 0, 1.0::double from (values ('bitonicsort'), ('bucketsort'), ('lbkmergesort'), ('lbmergesort'), ('samplesort')) x(a), (values (2), (4), (8), (16), (32), (64), (128)) y(n)",
+    "algorithm_efficiency": "with g as (select n, k, floor(round(ln(n) / ln(k), 9) + 1)::int as m from (values (2), (4), (8), (16), (32), (64), (128)) a(n), (values (2), (4), (8)) b(k)) select case when k = 2 then 'mergesort' else 'kmerge' end as algo, n, k, (select sum(n / pow(k, i)) from range(m) r(i)) / (n * m) as phi from g union all select 'quicksort', n, k, (select sum(n / pow(k, i)) from range(m) r(i)) / (n * m) from g where k = 2 union all select a, n, 0, 1.0::double from (values ('bitonicsort'), ('bucketsort'), ('lbkmergesort'), ('lbmergesort'), ('samplesort')) x(a), (values (2), (4), (8), (16), (32), (64), (128)) y(n)",
 }
 
 
@@ -96,4 +106,5 @@ ORACLE |= {
     "stencil_quicksort_1": _talks(f"select step, p as s, p + (1 << step::int) as r from {_STEPS} where p < 1 << step::int"),
     "stencil_kmerge_0": _talks("select step, p as s, p % (16 // pow(4, step + 1)::bigint) as r from range(2) x(step), range(16) y(p) where p >= 16 // pow(4, step + 1)::bigint and p < 16 // pow(4, step)::bigint"),
     "stencil_bitonicsort_0": "with ij as (select row_number() over (order by i, j) - 1 as step, i - 1 - j as b from range(1, 5) x(i), range(4) y(j) where j < i) select step, p as part, 'exchange' as role, xor(p, (1 << b::int)::bigint) as peer from ij, range(16) y(p)",
+    "stencil_lbmergesort_0": "with g as (select e, (1 << e::int)::bigint as g from range(4) t(e)), x as (select g - 1 + o as step, p, g, o from g, range(8) u(o), range(16) v(p) where o < g) select step, p as part, 'exchange' as role, xor(p - p % g, g) + (case when p & g = 0 then p + o else p - o + 16 end) % g as peer from x",
 }

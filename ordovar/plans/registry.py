@@ -51,7 +51,11 @@ def scatter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scatterv_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(layout.scattered_by(dealt(spark, sf_dir).select("pos", "value"), [100, 0, 250, 50], [0, 100, 100, 350]).select("part", "local_pos", "value"))
+    """All rows in four slices: a quarter, none, half, the rest."""
+    rows = dealt(spark, sf_dir).select("pos", "value").persist()
+    m = rows.count()
+    counts = [m // 4, 0, m // 2, m - m // 4 - m // 2]
+    return _long(layout.scattered_by(rows, counts, [sum(counts[:i]) for i in range(4)]).select("part", "local_pos", "value"))
 
 
 @query
@@ -131,9 +135,11 @@ for _t in range(1, 7):
 
 def _level(levels: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = dealt(spark, sf_dir).withColumn("node", F.lit(0))
-        for _ in range(levels):
-            df = strategies.quicksort_level(df)
+        df = dealt(spark, sf_dir)
+        cuts = strategies.pivots_of(df, levels)
+        df = df.withColumn("node", F.lit(0))
+        for level in cuts:
+            df = strategies.quicksort_level(df, level)
         return _long(df.select("node", "pos", "value"))
 
     QUERIES[f"quicksort_level_{levels}"] = run
@@ -145,9 +151,9 @@ for _t in range(1, 4):
 
 @query
 def alltoall_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight blocks of 64 rows of every part."""
-    rows = layout.local_rank(dealt(spark, sf_dir), keys=("pos",), name="local_pos").where("local_pos < 512")
-    return _long(exchange.alltoall(rows, 64))
+    """Every part in eight blocks, of an eighth of the largest part's rows."""
+    rows = layout.local_rank(dealt(spark, sf_dir), keys=("pos",), name="local_pos").persist()
+    return _long(exchange.alltoall(rows, -(-strategies.largest_part(rows) // N)))
 
 
 @query
@@ -163,6 +169,42 @@ def sendrecv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(exchange.sendrecv(dealt(spark, sf_dir), 1).groupBy("part").agg(F.count("*").alias("cnt"), F.sum("value").alias("total")))
 
 
+@query
+def sendrecv_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each part's rows the first half stays, and of the rest as many as half a part, from the first quarter on, go to the partner."""
+    rows = layout.local_rank(dealt(spark, sf_dir), keys=("pos",), name="local_pos").select("part", "local_pos", "value")
+    c = F.col("c")
+    slices = rows.groupBy("part").agg(F.count("*").alias("c")).withColumn("partner", F.col("part").bitwiseXOR(F.lit(1)).cast("int"))
+    sizes = slices.select(F.col("part").alias("partner"), F.col("c").alias("other"))
+    slices = slices.join(sizes, "partner").select("part", "partner", F.floor(c / 4).alias("sdispl"), F.floor(c / 2).alias("scount"), F.floor(F.col("other") / 2).alias("rdispl"), F.floor(c / 2).alias("keep"))
+    return _long(exchange.sendrecv_slices(rows, slices))
+
+
+@query
+def gather_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = layout.local_rank(dealt(spark, sf_dir), keys=("value", "pos"), name="local_pos").persist()
+    return exchange.gather(rows, strategies.largest_part(rows))
+
+
+@query
+def bcast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(exchange.bcast(spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("value")), N))
+
+
+@query
+def receive_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part receives of its neighbour's rows, behind its own."""
+    rows = layout.local_rank(dealt(spark, sf_dir), keys=("pos",), name="local_pos").select("part", "local_pos", "value")
+    return _long(exchange.appended(rows, exchange.sendrecv(rows, 1)))
+
+
+@query
+def phase_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases of three nodes in one table."""
+    made = [analytics.rounded_times(spark.createDataFrame([("sorting", i, 1000 * i + 499), ("spd", i, 1_500_000 * i)], "phase string, node int, us long")) for i in range(3)]
+    return _long(analytics.gathered(made))
+
+
 @query
 def compare_split_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(merge.compare_split(_pairs(spark, sf_dir), "low"))
@@ -203,8 +245,10 @@ def timestamp_keys_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def is_sorted_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = strategies.sort(dealt(spark, sf_dir), SortSpec("samplesort", N))
-    return validate.inversions(done).agg((F.count("*") == 0).alias("is_sorted"))
+    """Of the rows as they are dealt and as they are sorted: how many stand below the one before, and whether none does."""
+    rows = dealt(spark, sf_dir).persist()
+    said = lambda df, name: validate.inversions(df).agg(F.count("*").alias("inversions")).select(F.lit(name).alias("what"), "inversions", (F.col("inversions") == 0).alias("is_sorted"))
+    return said(rows, "dealt").unionByName(said(strategies.sort(rows, SortSpec("samplesort", N)), "sorted"))
 
 
 @query
@@ -243,6 +287,32 @@ def phase_pivot_mxtn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("m", F.col("2").alias("n_2"), F.col("4").alias("n_4"))
 
 
+@query
+def phase_pivot_nxtm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = analytics.pivoted(phase_avg_by_n(spark, sf_dir).where("algo = 'samplesort'"), "n", "m", [1024, 2048])
+    return got.select("n", F.col("1024").alias("m_1024"), F.col("2048").alias("m_2048"))
+
+
+@query
+def phase_pivot_mxta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.pivoted(phase_avg_by_n(spark, sf_dir).where("n = 4"), "m", "algo", ["samplesort", "sequential"])
+
+
+@query
+def phase_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.phase_of(_runs(spark), "sorting")
+
+
+@query
+def chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.chunk_grid(spark, 1 << 23, N, list(range(14)))
+
+
+@query
+def token_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(stencil.token_owners(spark, 16))
+
+
 @query
 def phase_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.skew(_runs(spark))
@@ -268,7 +338,7 @@ def tsend_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.transfer_fit(spark.createDataFrame(TRANSFERS, "len long, ave_us double"))
 
 
-for _a, _m, _k in (("mergesort", 0, 2), ("mergesort", 1, 2), ("quicksort", 0, 2), ("quicksort", 1, 2), ("kmerge", 0, 4), ("bitonicsort", 0, 2)):
+for _a, _m, _k in (("mergesort", 0, 2), ("mergesort", 1, 2), ("quicksort", 0, 2), ("quicksort", 1, 2), ("kmerge", 0, 4), ("bitonicsort", 0, 2), ("lbmergesort", 0, 2)):
     QUERIES[f"stencil_{_a}_{_m}"] = lambda spark, sf_dir, a=_a, m=_m, k=_k: _long(stencil.stencil(spark, 16, a, m, k))
 
 
