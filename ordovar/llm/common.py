@@ -99,26 +99,25 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return stored(spark, df, name)[0]
 
 
-#: A key with more than this share of all rows is hot.
+#: A key with more than one row in so many is hot; its rows are dealt to SALTS tasks.
 HOT_SHARE = 1000
+SALTS = 32
 
 
 def joined_hot(rows: DataFrame, sums: DataFrame, key: str, total: int, spread: str, keep: bool = False) -> DataFrame:
-    """rows joined with sums, which has one row a key and in `c` how many of the at most `total` rows the key has, and further columns.
-    keep: rows that find none stay, with nulls.
+    """rows joined with sums, which has one row a key, in `c` how many of the at most `total` rows the key has, and further columns.
+    keep: rows that find none stay, with nulls. sums is read twice and should be stored.
 
-    Keys of more than a thousandth of all rows, of which there are fewer than a thousand, are broadcast and their rows stay where they
-    are; the others are shuffled, the hot rows beside them by `spread`. So no key's rows meet in one task.
+    Keys of more than a thousandth of all rows, fewer than a thousand of them, become known to the driver; their rows are dealt to SALTS
+    tasks by `spread`, and their sums to each of these.
     """
     names = [n for n in sums.columns if n not in (key, "c")]
     least = max(1, total // HOT_SHARE)
-    hot = sums.where(F.col("c") > least).select(key, F.struct(*names).alias("__hot"))
-    salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int")
-    marked = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt)
-    cold = sums.where(F.col("c") <= least).select(key, F.struct(*names).alias("__cold"), F.lit(0).alias("__salt"))
-    got = marked.join(cold, [key, "__salt"], "left").withColumn("__got", F.coalesce("__hot", "__cold"))
-    got = got if keep else got.where(F.col("__got").isNotNull())
-    return got.select(*rows.columns, *(F.col(f"__got.{n}").alias(n) for n in names))
+    hot = [r[key] for r in sums.where(F.col("c") > least).select(key).collect()]
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    every = F.when(F.col("c") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spreadout = sums.select(key, *names, F.explode(every).alias("__salt"))
+    return rows.withColumn("__salt", salt.cast("int")).join(spreadout, [key, "__salt"], "left" if keep else "inner").drop("__salt").select(*rows.columns, *names)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,7 @@
 
 Every round is written to the shared folder and the one before is dropped, so that a lost executor costs one round, the plan stays
 short and the disk holds two rounds. Nothing but a count and a hash sum of each round reaches the driver. A hot centre's neighbours are
-aggregated before they are shuffled, and the hot centres' labels, a bounded number, are broadcast to their edges. In a small-star step
+aggregated before they are shuffled, and the edges of hot centres, a bounded number, are dealt to several tasks. In a small-star step
 a node has as many edges as it has neighbours below it, at most one a round from each large-star centre.
 """
 
@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import drop_path, joined_hot, scratch
+from ordovar.llm.common import drop_path, joined_hot, scratch, stored
 
 
-def _largest(edges: DataFrame, total: int) -> DataFrame:
+def _largest(edges: DataFrame, total: int, spent: list[str]) -> DataFrame:
     """edges: u > v, here and in the result; total: how many."""
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    least = edges.select("u", "v").union(back).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+    least, path = stored(edges.sparkSession, edges.select("u", "v").union(back).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "least")
+    spent.append(path)
     return joined_hot(back, least, "u", 2 * total, "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -45,9 +46,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        spent, before = path, mark
-        now, path, mark = settled(_smallest(_largest(now, mark[0])))
-        drop_path(spark, spent)
+        spent, before = [path], mark
+        now, path, mark = settled(_smallest(_largest(now, mark[0], spent)))
+        for old in spent:
+            drop_path(spark, old)
         if mark == before:
             break
     else:

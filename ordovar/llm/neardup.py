@@ -6,13 +6,13 @@ With 18 and 12, a pair at the threshold of 0.75 shares a table with probability
 
 Steps. (1) Equal shingle sets become one representative, the smallest id. (2) Left half-keys that nobody shares cannot be part of a
 shared table key and go. (3) In each left bucket all members are compared, not with each other, but with its leader, the member whose
-left keys are the most shared, if a right key of both is equal too: then they share a table. The table keys of a pair are so formed
-where its left keys meet, and never written out. (4) Links that the full sets confirm give components. (5) Left buckets that still
-hold several components are split into their tables; what shares such a table gets an exact search of its own, by prefixes: with
-shingles ordered from rare to frequent, two sets that are similar enough share one of the first n - ceil(0.75 n) + 1. Pairs in
-different components that do are compared; so no pair of a table is lost, and members that share only a frequent passage make no
-pairs: a shingle's group is left out before any pair is formed when the sizes in it allow none. (6) Components of all links. Buckets are
-never gathered: leaders come from pre-aggregated maxima, and the leaders of hot buckets are broadcast to their members.
+left keys are the most shared, if a right key of both is equal too: then they share a table, whose key is so formed where the left keys
+meet. (4) Links that the full sets confirm give components. (5) Only left buckets that still hold several components are split into
+their tables. A pair alone in a table is compared; what shares a larger one gets an exact search of its own, by prefixes: with shingles
+ordered from rare to frequent, two sets that are similar enough share one of the first n - ceil(0.75 n) + 1. Pairs in different
+components that do are compared; so no pair of a table is lost, and members that share only a frequent passage make no pairs: a
+shingle's group is left out before any pair is formed when the sizes in it allow none. (6) Components of all links. Buckets are never
+gathered: leaders come from pre-aggregated maxima, and the members of hot buckets are dealt to several tasks.
 
 Rows without words have no shingles, link with nothing and are kept. Rows that share an id but not the set are judged each by its own
 set; links of either are links of the id. Null ids link with nothing and are kept. Repeated rows are equal sets. Further columns are
@@ -21,7 +21,7 @@ ignored but for those of `carry`, which the result has too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,33 +112,41 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     return rows.mapInArrow(lean(kernel), f"id long, n long, f1 long, f2 long, lefts array<long>, rights array<long>{kinds}")
 
 
-def left_buckets(reps: DataFrame) -> DataFrame:
+#: Writes a table that later steps read, by a name.
+Step = Callable[[DataFrame, str], DataFrame]
+
+
+def left_buckets(reps: DataFrame, step: Step) -> DataFrame:
     """(key, rep, n, uses): the left keys that representatives share; uses: how many rows share any left key of this one."""
     rows = reps.select("rep", "n", F.explode("lefts").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("users", F.col("c"))
+    often = step(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("users", F.col("c")), "often")
     shared = joined_hot(rows, often, "key", LEFT * reps.count(), "rep")
     return shared.groupBy("rep", "n").agg(F.sum("users").alias("uses"), F.collect_list("key").alias("keys")).select(F.explode("keys").alias("key"), "rep", "n", "uses")
 
 
-def star_pairs(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def star_pairs(table: DataFrame, reps: DataFrame, percent: int, step: Step) -> DataFrame:
     """Distinct pairs (a, b) of a left bucket's leader with its members, where a right key of both is equal too."""
     leaders = table.groupBy("key").agg(F.max(F.struct("uses", (-F.col("rep")).alias("back"), "n")).alias("top"), F.count("*").alias("c"))
-    star = joined_hot(table, leaders.select("key", "c", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "key", table.count(), "rep").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
+    leaders = step(leaders.select("key", "c", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "leaders")
+    star = joined_hot(table, leaders, "key", table.count(), "rep").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
     rights = reps.select("rep", "rights")
     met = star.select("rep", "lead").distinct().join(rights, "rep").join(rights.select(F.col("rep").alias("lead"), F.col("rights").alias("others")), "lead").where(F.arrays_overlap("rights", "others"))
     return met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
 
 
-def unconnected(table: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """(rep, n, component) of what shares a table with another component. Of a left bucket of two, the leader's pair was all."""
-    named = table.select("key", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    span = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")]
+def unconnected(table: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, step: Step) -> tuple[DataFrame, DataFrame]:
+    """What shares a table with another component: pairs (a, b) that are alone in a table, and (rep, n, component) of all in larger ones.
+    Of a left bucket of two, the leader's pair was all."""
+    named = step(table.select("key", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+    ends = [F.min(F.struct("component", "rep", "n")).alias("lo"), F.max(F.struct("component", "rep", "n")).alias("hi"), F.count("*").alias("c")]
     total = table.count()
-    mixed = named.groupBy("key").agg(*span).where("lo <> hi and c > 2")
-    open_ = joined_hot(named, mixed, "key", total, "rep").drop("lo", "hi").join(reps.select("rep", "rights"), "rep")
-    tables = open_.select("key", "rep", "n", "component", F.explode("rights").alias("r")).select(F.xxhash64("key", "r").alias("key"), "rep", "n", "component")
-    split = tables.groupBy("key").agg(*span).where("lo <> hi")
-    return joined_hot(tables, split, "key", RIGHT * total, "rep").select("rep", "n", "component").distinct()
+    mixed = step(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("key", "c"), "mixed")
+    open_ = joined_hot(named, mixed, "key", total, "rep").join(reps.select("rep", "rights"), "rep")
+    tables = step(open_.select("key", "rep", "n", "component", F.explode("rights").alias("r")).select(F.xxhash64("key", "r").alias("key"), "rep", "n", "component"), "tables")
+    split = step(tables.groupBy("key").agg(*ends).where("lo.component <> hi.component"), "split")
+    two = split.where("c = 2").select(F.least("lo.rep", "hi.rep").alias("a"), F.greatest("lo.rep", "hi.rep").alias("b"), F.col("lo.n").alias("n"), F.col("hi.n").alias("m"))
+    rest = joined_hot(tables, split.where("c > 2").select("key", "c"), "key", RIGHT * total, "rep").select("rep", "n", "component").distinct()
+    return two.where(_alike("n", "m", percent)).select("a", "b").distinct(), rest
 
 
 def _alike(a: str, b: str, percent: int) -> F.Column:
@@ -164,29 +172,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return wide.select("a", "b", "ta", "tb").mapInArrow(lean(kernel), "a long, b long").distinct()
 
 
-def by_prefix(rest: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def by_prefix(rest: DataFrame, texts: DataFrame, percent: int, step: Step) -> DataFrame:
     """Pairs (a, b) of rest (rep, n, component) in different components that can be similar enough, by the prefix rule."""
-    owns = ["rep", "n", "component"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, buf, offsets in text_slices(batch, "t"):
                 sets, at = shingle_sets(buf, offsets)
                 who = pa.array(np.repeat(np.arange(row, end), np.diff(at)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in owns), pa.array(sets.view(np.int64))], [*owns, "shingle"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(who), pa.array(sets.view(np.int64))], ["rep", "shingle"])
 
-    rows = rest.join(texts.select(F.col("id").alias("rep"), "t"), "rep").mapInArrow(lean(kernel), "rep long, n long, component long, shingle long")
+    rows = texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "t").mapInArrow(lean(kernel), "rep long, shingle long")
     total = rest.agg(F.sum("n")).first()[0] or 0
-    often = rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").withColumn("df", F.col("c"))
+    often = step(rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").withColumn("df", F.col("c")), "shingles")
     # shingles of no other set come first and match nothing; what is left of the prefix is taken from the shared ones
-    own = joined_hot(rows, often, "shingle", total, "rep").groupBy(*owns).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    own = joined_hot(rows, often, "shingle", total, "rep").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(rest, "rep")
     need = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("s")).cast("int")
     prefix = own.withColumn("m", F.size("s")).withColumn("need", need).where("need > 0")
-    prefix = prefix.select(*owns, "m", F.posexplode(F.slice("s", F.lit(1), F.col("need"))).alias("at", "x")).select("x.shingle", *owns, (F.col("m") - F.col("at")).alias("left"))
+    prefix = step(prefix.select("rep", "n", "component", "m", F.posexplode(F.slice("s", F.lit(1), F.col("need"))).alias("at", "x")).select("x.shingle", "rep", "n", "component", (F.col("m") - F.col("at")).alias("left")), "prefix")
     # the first shingle that two sets share, with all that follow it in the shorter rest, bounds what they can share; v, n of a group say whether any two can
     v = (100 + percent) * F.col("left") - percent * F.col("n")
-    spans = prefix.groupBy("shingle").agg(F.max(v).alias("most"), F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    able = joined_hot(prefix, spans, "shingle", total, "rep").where((v >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("shingle", *owns, "left")
+    spans = step(prefix.groupBy("shingle").agg(F.max(v).alias("most"), F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").drop("lo", "hi"), "spans")
+    able = step(joined_hot(prefix, spans, "shingle", total, "rep").where((v >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("shingle", "rep", "n", "component", "left"), "able")
     x, y = able.alias("x"), able.alias("y")
     enough = F.least("x.left", "y.left") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     cross = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _alike("x.n", "y.n", percent) & enough)
@@ -206,14 +213,14 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     own = written(spark, sketches(df, id_col, text_col, carry), "sketches")
     first = own.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lefts", "rights")).alias("x"))
     reps = written(spark, first.select("f1", "f2", "n", F.col("x.id").alias("rep"), "x.lefts", "x.rights"), "reps")
-    table = step(left_buckets(reps), "buckets")
-    pairs = step(star_pairs(table, reps, percent), "pairs")
+    table = step(left_buckets(reps, step), "buckets")
+    pairs = step(star_pairs(table, reps, percent, step), "pairs")
     members = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
     texts = step(members.join(table.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
     links = step(confirmed(pairs, texts, percent), "links")
     comp = components(links)
-    rest = step(unconnected(table, reps, comp), "rest")
-    more = step(by_prefix(rest, texts, percent).join(pairs, ["a", "b"], "left_anti"), "more")
+    two, rest = unconnected(table, reps, comp, percent, step)
+    more = step(by_prefix(step(rest, "rest"), texts, percent, step).union(two).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         found = step(confirmed(more, texts, percent), "found")
         if not found.isEmpty():

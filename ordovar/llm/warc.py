@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import joined_hot
+from ordovar.llm.common import drop_path, joined_hot, stored
 
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
@@ -96,6 +96,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     """Writes gzipped WARC files of at most FILE_RECORDS records under path, wherever Spark can write."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where((F.octet_length("payload") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    firsts, path_of_firsts = stored(pages.sparkSession, firsts, "firsts")
     told = joined_hot(rows, firsts, "digest", pages.count(), "page_id", keep=True).withColumn("first", F.when(F.col("first") < F.col("page_id"), F.col("first")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +105,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                 yield pa.RecordBatch.from_arrays([pa.array(records_of(row[0], row[1], row[2].encode(), row[3], row[4], segment_bytes), pa.binary())], ["record"])
 
     told.select("page_id", "url", "payload", "digest", "first").mapInArrow(kernel, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    drop_path(pages.sparkSession, path_of_firsts)
 
 
 def members(raw: bytes) -> tuple[bytes, str | None]:
