@@ -104,20 +104,23 @@ HOT_SHARE = 1000
 SALTS = 32
 
 
-def joined_hot(rows: DataFrame, sums: DataFrame, key: str, total: int, spread: str, keep: bool = False) -> DataFrame:
+def joined_hot(rows: DataFrame, sums: DataFrame, key: str | list[str], total: int, spread: str, keep: bool = False) -> DataFrame:
     """rows joined with sums, which has one row a key, in `c` how many of the at most `total` rows the key has, and further columns.
     keep: rows that find none stay, with nulls. sums is read twice and should be stored.
 
     Keys of more than a thousandth of all rows, fewer than a thousand of them, become known to the driver; their rows are dealt to SALTS
-    tasks by `spread`, and their sums to each of these.
+    tasks by `spread`, and their sums to each of these. Neither side is bounded, so it is a merge join at every size. Of several key
+    columns the first tells what is hot.
     """
-    names = [n for n in sums.columns if n not in (key, "c")]
+    keys = [key] if isinstance(key, str) else key
+    key = keys[0]
+    names = [n for n in sums.columns if n not in (*keys, "c")]
     least = max(1, total // HOT_SHARE)
     hot = [r[key] for r in sums.where(F.col("c") > least).select(key).collect()]
     salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     every = F.when(F.col("c") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spreadout = sums.select(key, *names, F.explode(every).alias("__salt"))
-    return rows.withColumn("__salt", salt.cast("int")).join(spreadout, [key, "__salt"], "left" if keep else "inner").drop("__salt").select(*rows.columns, *names)
+    spreadout = sums.select(*keys, *names, F.explode(every).alias("__salt"))
+    return rows.withColumn("__salt", salt.cast("int")).join(spreadout.hint("merge"), [*keys, "__salt"], "left" if keep else "inner").drop("__salt").select(*rows.columns, *names)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -130,18 +130,18 @@ def star_pairs(table: DataFrame, reps: DataFrame, percent: int, step: Step) -> D
     leaders = step(leaders.select("key", "c", (-F.col("top.back")).alias("lead"), F.col("top.n").alias("lead_n")), "leaders")
     star = joined_hot(table, leaders, "key", table.count(), "rep").where((F.col("rep") != F.col("lead")) & _alike("n", "lead_n", percent))
     rights = reps.select("rep", "rights")
-    met = star.select("rep", "lead").distinct().join(rights, "rep").join(rights.select(F.col("rep").alias("lead"), F.col("rights").alias("others")), "lead").where(F.arrays_overlap("rights", "others"))
+    met = star.select("rep", "lead").distinct().join(rights.hint("merge"), "rep").join(rights.select(F.col("rep").alias("lead"), F.col("rights").alias("others")).hint("merge"), "lead").where(F.arrays_overlap("rights", "others"))
     return met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
 
 
 def unconnected(table: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, step: Step) -> tuple[DataFrame, DataFrame]:
     """What shares a table with another component: pairs (a, b) that are alone in a table, and (rep, n, component) of all in larger ones.
     Of a left bucket of two, the leader's pair was all."""
-    named = step(table.select("key", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+    named = step(table.select("key", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
     ends = [F.min(F.struct("component", "rep", "n")).alias("lo"), F.max(F.struct("component", "rep", "n")).alias("hi"), F.count("*").alias("c")]
     total = table.count()
     mixed = step(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("key", "c"), "mixed")
-    open_ = joined_hot(named, mixed, "key", total, "rep").join(reps.select("rep", "rights"), "rep")
+    open_ = joined_hot(named, mixed, "key", total, "rep").join(reps.select("rep", "rights").hint("merge"), "rep")
     tables = step(open_.select("key", "rep", "n", "component", F.explode("rights").alias("r")).select(F.xxhash64("key", "r").alias("key"), "rep", "n", "component"), "tables")
     split = step(tables.groupBy("key").agg(*ends).where("lo.component <> hi.component"), "split")
     two = split.where("c = 2").select(F.least("lo.rep", "hi.rep").alias("a"), F.greatest("lo.rep", "hi.rep").alias("b"), F.col("lo.n").alias("n"), F.col("hi.n").alias("m"))
@@ -168,7 +168,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
     return wide.select("a", "b", "ta", "tb").mapInArrow(lean(kernel), "a long, b long").distinct()
 
 
@@ -182,11 +182,11 @@ def by_prefix(rest: DataFrame, texts: DataFrame, percent: int, step: Step) -> Da
                 who = pa.array(np.repeat(np.arange(row, end), np.diff(at)))
                 yield pa.RecordBatch.from_arrays([batch.column("rep").take(who), pa.array(sets.view(np.int64))], ["rep", "shingle"])
 
-    rows = texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "t").mapInArrow(lean(kernel), "rep long, shingle long")
+    rows = texts.join(rest.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select(F.col("id").alias("rep"), "t").mapInArrow(lean(kernel), "rep long, shingle long")
     total = rest.agg(F.sum("n")).first()[0] or 0
     often = step(rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").withColumn("df", F.col("c")), "shingles")
     # shingles of no other set come first and match nothing; what is left of the prefix is taken from the shared ones
-    own = joined_hot(rows, often, "shingle", total, "rep").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(rest, "rep")
+    own = joined_hot(rows, often, "shingle", total, "rep").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(rest.hint("merge"), "rep")
     need = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("s")).cast("int")
     prefix = own.withColumn("m", F.size("s")).withColumn("need", need).where("need > 0")
     prefix = step(prefix.select("rep", "n", "component", "m", F.posexplode(F.slice("s", F.lit(1), F.col("need"))).alias("at", "x")).select("x.shingle", "rep", "n", "component", (F.col("m") - F.col("at")).alias("left")), "prefix")
@@ -196,7 +196,7 @@ def by_prefix(rest: DataFrame, texts: DataFrame, percent: int, step: Step) -> Da
     able = step(joined_hot(prefix, spans, "shingle", total, "rep").where((v >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("shingle", "rep", "n", "component", "left"), "able")
     x, y = able.alias("x"), able.alias("y")
     enough = F.least("x.left", "y.left") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-    cross = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _alike("x.n", "y.n", percent) & enough)
+    cross = x.join(y.hint("merge"), F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _alike("x.n", "y.n", percent) & enough)
     return cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -211,24 +211,25 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         return out
 
     own = written(spark, sketches(df, id_col, text_col, carry), "sketches")
-    first = own.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lefts", "rights")).alias("x"))
-    reps = written(spark, first.select("f1", "f2", "n", F.col("x.id").alias("rep"), "x.lefts", "x.rights"), "reps")
+    first = own.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "lefts", "rights")).alias("x"), F.count("*").alias("c"))
+    reps = written(spark, first.select("f1", "f2", "n", "c", F.col("x.id").alias("rep"), "x.lefts", "x.rights"), "reps")
     table = step(left_buckets(reps, step), "buckets")
     pairs = step(star_pairs(table, reps, percent, step), "pairs")
     members = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    texts = step(members.join(table.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+    texts = step(members.join(table.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi"), "texts")
     links = step(confirmed(pairs, texts, percent), "links")
     comp = components(links)
     two, rest = unconnected(table, reps, comp, percent, step)
-    more = step(by_prefix(step(rest, "rest"), texts, percent, step).union(two).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    more = step(by_prefix(step(rest, "rest"), texts, percent, step).union(two).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         found = step(confirmed(more, texts, percent), "found")
         if not found.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     for path in spent:  # what follows needs only sketches, representatives and components
         drop_path(spark, path)
-    labels = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    named_rows = own.drop("lefts", "rights").join(labels, ["f1", "f2", "n"], "left")
+    labels = reps.join(comp.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("f1", "f2", "n", "c", F.coalesce("component", "rep").alias("component"))
+    labels = written(spark, labels, "labels")
+    named_rows = joined_hot(own.drop("lefts", "rights"), labels, ["f1", "f2", "n"], own.count(), "id", keep=True)
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(component)
     out = named_rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
