@@ -117,7 +117,8 @@ def joined_hot(rows: DataFrame, sums: DataFrame, key: str | list[str], total: in
     names = [n for n in sums.columns if n not in (*keys, "c")]
     least = max(1, total // HOT_SHARE)
     hot = [r[key] for r in sums.where(F.col("c") > least).select(key).collect()]
-    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    # without a hot key the salt is 0 in every row, but no constant, so that the plan is one at every size
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0) if hot else F.pmod(F.xxhash64(spread), F.lit(1))
     every = F.when(F.col("c") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spreadout = sums.select(*keys, *names, F.explode(every).alias("__salt"))
     return rows.withColumn("__salt", salt.cast("int")).join(spreadout.hint("merge"), [*keys, "__salt"], "left" if keep else "inner").drop("__salt").select(*rows.columns, *names)
