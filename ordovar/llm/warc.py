@@ -244,8 +244,14 @@ def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def resolved(pages: DataFrame) -> DataFrame:
-    """reassembled()'s rows without record ids: revisits whose response is absent, or has another digest or length, get a problem."""
-    told = pages.where("record_type = 'response'").groupBy("record_id").agg(F.first("digest").alias("d"), F.first("payload_length").alias("l")).withColumnRenamed("record_id", "refers_id")
-    named = pages.drop("payload").join(told, "refers_id", "left")
-    lacking = F.when(F.col("problem").isNotNull() | (F.col("record_type") != "revisit"), F.col("problem")).when(F.col("d").isNull(), "the response it names is missing").when((F.col("d") != F.col("digest")) | (F.col("l") != F.col("payload_length")), "the response it names has another payload")
-    return named.withColumn("problem", lacking).drop("d", "l", "refers_id", "record_id")
+    """reassembled()'s rows without record ids and payloads: revisits whose response is absent, or has another digest or length, get a
+    problem. pages is read several times and should be stored."""
+    spark = pages.sparkSession
+    answer, again = F.col("record_type") == "response", F.col("record_type") == "revisit"
+    said = pages.where(answer | again).select(F.when(answer, F.col("record_id")).otherwise(F.coalesce("refers_id", "record_id")).alias("refers_id"), "record_type", "digest", "payload_length")
+    told = said.groupBy("refers_id").agg(F.max(F.when(answer, F.struct("digest", "payload_length"))).alias("told"), F.sum(again.cast("long")).alias("c")).where("c > 0")
+    told, path = stored(spark, told, "told")
+    bare = pages.drop("payload")
+    named = joined_hot(bare.where(again).withColumn("refers_id", F.coalesce("refers_id", "record_id")), told, "refers_id", pages.count(), "record_id")
+    lacking = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("told").isNull(), "the response it names is missing").when((F.col("told.digest") != F.col("digest")) | (F.col("told.payload_length") != F.col("payload_length")), "the response it names has another payload")
+    return named.withColumn("problem", lacking).drop("told").unionByName(bare.where(~again)).drop("refers_id", "record_id")
