@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordovar.llm.common import drop_path, joined_hot, stored
+from ordovar.llm.common import SLICE_BYTES, drop_path, joined_hot, lean, small_batches, stored
 
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
@@ -101,10 +101,11 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
+            for row in zip(*(map(pa.Scalar.as_py, b.column(c)) for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(records_of(row[0], row[1], row[2].encode(), row[3], row[4], segment_bytes), pa.binary())], ["record"])
 
-    told.select("page_id", "url", "payload", "digest", "first").mapInArrow(kernel, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    small_batches(pages.sparkSession)
+    told.select("page_id", "url", "payload", "digest", "first").mapInArrow(lean(kernel), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     drop_path(pages.sparkSession, path_of_firsts)
 
 
@@ -181,23 +182,32 @@ def _whole(v: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records (RECORDS) of the archives under path, *.warc and *.gz. Of a damaged file, the row of what can't be read has a problem."""
 
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+
+    def batch(got: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], [c.split()[0] for c in RECORDS.split(", ")])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content").to_pylist():
+            for content in map(pa.Scalar.as_py, b.column("content")):
                 raw, broken = members(content)
-                got = []
+                got, size = [], 0
                 for h, block, problem in parse(raw):
                     digest = h.get("warc-payload-digest")
                     ident = h.get("warc-record-id", _uuid("nameless", hashlib.sha256(block).hexdigest()))
                     got.append((ident, h.get("warc-segment-origin-id", ident), _whole(h.get("warc-segment-number")), _whole(h.get("warc-segment-total-length")), _whole(h.get("x-page-id")), h.get("warc-type", "unknown"), digest and digest.partition(":")[2], _whole(h.get("x-payload-length")), _whole(h.get("x-refers-to-page-id")), h.get("warc-refers-to"), block, problem))
+                    size += len(block)
+                    if size > SLICE_BYTES:
+                        yield batch(got)
+                        got, size = [], 0
                 if broken:
                     lost = _uuid("broken", hashlib.sha256(content).hexdigest())
                     got.append((lost, lost, None, None, None, "unknown", None, None, None, None, b"", broken))
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], [c.split()[0] for c in RECORDS.split(", ")])
+                yield batch(got)
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,gz}").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(kernel, RECORDS)
+    return files.select("content").mapInArrow(lean(kernel), RECORDS)
 
 
 def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
@@ -215,7 +225,7 @@ def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for kind, digest, length, parts, problem in zip(*(b.column(c).to_pylist() for c in ("type", "digest", "payload_length", "parts", "problem")), strict=True):
+            for kind, digest, length, parts, problem in zip(*(map(pa.Scalar.as_py, b.column(c)) for c in ("type", "digest", "payload_length", "parts", "problem")), strict=True):
                 payload = None
                 block = b"".join(p["block"] for p in parts)
                 total = parts[-1]["total"]
@@ -239,7 +249,8 @@ def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], [*keep, "digest", "payload_length", "payload", "problem"])
 
-    done = alone.unionByName(many).mapInArrow(kernel, "record_id string, page_id long, type string, refers_to long, refers_id string, digest string, payload_length long, payload binary, problem string")
+    small_batches(records.sparkSession)
+    done = alone.unionByName(many).mapInArrow(lean(kernel), "record_id string, page_id long, type string, refers_to long, refers_id string, digest string, payload_length long, payload binary, problem string")
     return done.where("type in ('response', 'revisit') or problem is not null").withColumnRenamed("type", "record_type")
 
 
