@@ -66,6 +66,11 @@ def decoded(block: bytes) -> bytes:
     return dechunked(block[end + 4 :]) if framed else block[end + 4 :]
 
 
+def _values(column: pa.Array) -> Iterator[object]:
+    """One at a time: a list of all would lie in memory beside the column."""
+    return (x.as_py() for x in column)
+
+
 def _uuid(*of: object) -> str:
     h = hashlib.md5("|".join(map(str, of)).encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
@@ -101,7 +106,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(map(pa.Scalar.as_py, b.column(c)) for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
+            for row in zip(*(_values(b.column(c)) for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(records_of(row[0], row[1], row[2].encode(), row[3], row[4], segment_bytes), pa.binary())], ["record"])
 
     small_batches(pages.sparkSession)
@@ -189,7 +194,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in map(pa.Scalar.as_py, b.column("content")):
+            for content in _values(b.column("content")):
                 raw, broken = members(content)
                 got, size = [], 0
                 for h, block, problem in parse(raw):
@@ -225,7 +230,7 @@ def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for kind, digest, length, parts, problem in zip(*(map(pa.Scalar.as_py, b.column(c)) for c in ("type", "digest", "payload_length", "parts", "problem")), strict=True):
+            for kind, digest, length, parts, problem in zip(*(_values(b.column(c)) for c in ("type", "digest", "payload_length", "parts", "problem")), strict=True):
                 payload = None
                 block = b"".join(p["block"] for p in parts)
                 total = parts[-1]["total"]
