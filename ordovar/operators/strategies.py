@@ -79,7 +79,7 @@ def lb_dest(part: Column, value: Column, splitters: list, n: int, i: int) -> Col
 
 def lbmergesort(df: DataFrame, spec: SortSpec) -> DataFrame:
     n = spec.n
-    splitters = splitters_of(df, n)
+    splitters = sampled_splitters(df, n, spec.seed)
     rounds = ceil_log2(n)
     for i in range(1, rounds):
         df = merge_round(df, n, lb_dest(F.col("part"), F.col("value"), splitters, n, i))
@@ -87,13 +87,13 @@ def lbmergesort(df: DataFrame, spec: SortSpec) -> DataFrame:
 
 
 def samplesort(df: DataFrame, spec: SortSpec) -> DataFrame:
-    splitters = splitters_of(df, spec.n)
+    splitters = sampled_splitters(df, spec.n, spec.seed)
     return sorted_by_bucket(df.withColumn("part", bucket_of(F.col("value"), splitters)), spec.n, "part", KEYS).select("pos", "value")
 
 
 def lbkmergesort(df: DataFrame, spec: SortSpec) -> DataFrame:
     """One hop to the bucket, with the received runs kept apart by their sender, and one n-way merge of them."""
-    splitters = splitters_of(df, spec.n)
+    splitters = sampled_splitters(df, spec.n, spec.seed)
     runs = df.withColumnRenamed("part", "run").withColumn("part", bucket_of(F.col("value"), splitters))
     return sorted_by_bucket(runs, spec.n, "part", ["value", "run", "pos"]).select("pos", "value")
 
@@ -136,13 +136,24 @@ PIVOT_SAMPLE = 4096
 PIVOT_FACTOR, PIVOT_RANGE = 2654435761, 1 << 32
 
 
-def pivots_of(df: DataFrame, levels: int, seed: int = 1) -> list[list]:
-    """For each level its nodes' pivots (null: none): medians of what a random sample of about PIVOT_SAMPLE rows has in the node. The
-    sample are the rows whose position hashes below a limit, so that a seed gives one result and no order of the input a bad one."""
+def sampled(df: DataFrame, size: int, seed: int = 1) -> list:
+    """The sorted values of a random sample of about `size` rows: those whose position hashes below a limit, so that a seed gives one
+    result and no order of the input a bad one. One scan, nothing is sorted but the sample."""
     m = df.count()
     chance = (F.pmod("pos", F.lit(1 << 31)) * F.lit(PIVOT_FACTOR) + F.lit(seed)) % F.lit(PIVOT_RANGE)
-    limit = min(PIVOT_RANGE, PIVOT_SAMPLE * PIVOT_RANGE // max(1, m) + 1)
-    nodes = [sorted(r["value"] for r in df.where((chance < limit) & F.col("value").isNotNull()).select("value").collect())]
+    limit = min(PIVOT_RANGE, size * PIVOT_RANGE // max(1, m) + 1)
+    return sorted(r["value"] for r in df.where((chance < limit) & F.col("value").isNotNull()).select("value").collect())
+
+
+def sampled_splitters(df: DataFrame, n: int, seed: int = 1) -> list:
+    """n - 1 quantiles of a sample. splitters_of() takes the regular sample of the sorted parts, for which every part is sorted first."""
+    got = sampled(df, max(PIVOT_SAMPLE, 64 * n), seed)
+    return [got[i * len(got) // n] for i in range(1, n)] if got else []
+
+
+def pivots_of(df: DataFrame, levels: int, seed: int = 1) -> list[list]:
+    """For each level its nodes' pivots (null: none): medians of what a sample of about PIVOT_SAMPLE rows has in the node."""
+    nodes = [sampled(df, PIVOT_SAMPLE, seed)]
     out = []
     for _ in range(levels):
         cuts = [v[(len(v) - 1) // 2] if v else None for v in nodes]
