@@ -308,7 +308,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 5, rate: float = 0.25, bins: int = 24) -> Trees:
     """Second-order boosting of the logistic loss on quantile histograms."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1) + np.arange(x.shape[1]) * bins  # > cut k: bin over k
